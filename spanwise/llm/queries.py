@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import minhash, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": sharding.query,
     "op9_mixing": mixing.query,
+    "op10_minhash_near_dedup": minhash.query,
 }
 
 ORACLES: dict[str, str] = {}
