@@ -140,12 +140,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                 y, yc = shingle_sets(right[bt[i] : bt[j]], bt[i : j + 1] - bt[i], size)
                 good = np.zeros(j - i, dtype=bool)
                 for k in range(j - i):
-                    p, q = x[xc[k] : xc[k + 1]], y[yc[k] : yc[k + 1]]
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q), 1):
-                        both = np.concatenate((p, q))
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        good[k] = common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
+                    good[k] = linked(x[xc[k] : xc[k + 1]], y[yc[k] : yc[k + 1]], percent)
                 part = batch.slice(i, j - i).select([0, 1])
                 yield part.filter(pa.array(good))
 
@@ -159,20 +154,59 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     return wide.mapInArrow(apply, "a long, b long")
 
 
-def _plausible(least: float, percent: int):
+def packed_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``id, shingles``: the sorted shingle hashes of a text as bytes."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tc.buffers(batch.column(1))
+            for i, j in tc.blocks(offsets, BLOCK):
+                sets, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                rows = [sets[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], names=["id", "shingles"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(apply, "id long, shingles binary")
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets satisfy 100 * intersection >= percent * union."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q), 1):
+        return False
+    both = np.concatenate((p, q))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _bridges(least: float, percent: int):
+    """Verified links between components inside one pair of blocks, at most one per merge."""
+
     def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.block == key[1]], rows[rows.block == key[2]]
-        found = [np.zeros((0, 2), dtype=np.int64)]
         other = np.frombuffer(b"".join(right.sig), dtype=np.uint8).reshape(len(right), -1)
         ids, comps, sizes = right.id.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-        for a, comp, n, sig in zip(left.id, left.comp, left.n, left.sig, strict=True):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in right.shingles]
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        found = []
+        for a, comp, n, sig, shingles in zip(left.id, left.comp, left.n, left.sig, left.shingles, strict=True):
             may = (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
             if key[1] == key[2]:
                 may &= ids > a
             at = np.flatnonzero(may)
             at = at[(other[at] == np.frombuffer(sig, dtype=np.uint8)).mean(axis=1) >= least]
-            found.append(np.stack([np.minimum(a, ids[at]), np.maximum(a, ids[at])], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+            own = np.frombuffer(shingles, dtype=np.uint64)
+            for k in at:
+                x, y = top(comp), top(int(comps[k]))
+                if x != y and linked(own, sets[k], percent):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((min(a, ids[k]), max(a, ids[k])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return apply
 
@@ -187,8 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     1. One pass makes SuperMinHash signatures and set digests. Equal sets are one node.
     2. Nodes that share a band are compared with the band's smallest node on their full sets.
     3. In bands whose nodes are not all connected by then, nodes of different components are
-       compared by signature, in blocks of fixed size, and what may reach the threshold (the
-       estimate less four standard errors) is verified on full sets.
+       compared by signature, in pairs of blocks of fixed size. What may reach the threshold
+       (estimate within four standard errors) is verified there on full sets, and only links
+       that join two components leave the block: as many rows as there are merges.
 
     A pair at the threshold shares no band with probability under 5e-6; nothing is capped.
 
@@ -214,16 +249,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     placed = shared.where("members > 2").join(comps.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left").select("band", "id", "members", F.coalesce("component", "id").alias("comp"))
     parted = placed.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_all"), F.bit_xor(F.xxhash64("id")).alias("_xor")).where("_lo <> _hi")
     parted = parted.groupBy("_all", "_xor").agg(F.min("band").alias("band")).select("band")  # one band of those with the same nodes
-    open_rows = placed.join(parted, "band", "left_semi").join(nodes.select("id", "n", "sig"), "id")
+    open_rows = keep.save(placed.join(parted, "band", "left_semi"), "open")
+    wanted = keep.save(open_rows.select(F.col("id").alias("_id")).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(wanted, F.col("id") == F.col("_id"), "left_semi")
+    open_rows = open_rows.join(nodes.select("id", "n", "sig"), "id").join(packed_sets(texts, "id", "_text", size), "id")
     blocks = F.ceil(F.col("members") / GROUP)
     blocked = open_rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    blocked = blocked.select("band", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"), "block", "id", "comp", "n", "sig")
+    blocked = blocked.select("band", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"), "block", "id", "comp", "n", "sig", "shingles")
     t = percent / 100
     least = t - 4 * (t * (1 - t) / SLOTS) ** 0.5
-    maybe = blocked.groupBy("band", "b1", "b2").applyInPandas(_plausible(least, percent), "a long, b long").distinct()
-    maybe = keep.save(maybe.join(stars, ["a", "b"], "left_anti"), "maybe")
-    if not maybe.isEmpty():
-        more = verified(maybe, docs, id_col, text_col, size, percent)
+    more = keep.save(blocked.groupBy("band", "b1", "b2").applyInPandas(_bridges(least, percent), "a long, b long").distinct(), "bridges")
+    if not more.isEmpty():
         edges = comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         comps = keep.save(components(edges, keep), "components")
 
