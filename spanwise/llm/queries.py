@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding
+from . import minhash, mixing, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": substring.query,
     "op5_quality_rules": quality.query,
     "op6_sharding": sharding.query,
     "op9_mixing": mixing.query,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring.ORACLE,
     "op5_quality_rules": quality.ORACLE,
 }
