@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding, substring
+from . import decontaminate, lines, minhash, mixing, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.query,
     "op5_quality_rules": quality.query,
     "op6_sharding": sharding.query,
+    "op7_benchmark_decontamination": decontaminate.query,
+    "op8_line_dedup": lines.query,
     "op9_mixing": mixing.query,
     "op10_minhash_near_dedup": minhash.query,
 }
