@@ -1,11 +1,60 @@
-"""Corpus pipeline: filled in below as its operators arrive."""
+"""Corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``docs``. ``run`` writes every stage as Parquet in the shared folder and reads it
+again, so no stage recomputes an earlier one and a lost executor costs one stage's tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanwise import ship
+from spanwise.llm import decontaminate, minhash, mixing, quality, sharding
+from spanwise.llm.scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the threshold table."""
+    return quality.passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of least id, of each group of near-duplicates (five words, 0.8)."""
+    return minhash.deduplicated(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights; documents of small sources repeat."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: SuperMinHash components and keyed permutations have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    keep = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = keep.save(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

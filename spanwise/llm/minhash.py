@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .graph import components
 from .scratch import Scratch
+from .sized import maybe_broadcast
 
 SLOTS = 252
 BLOCK = 1 << 21
 GROUP = 256
+GONE_ROWS = 200_000
 EMPTY = np.uint64(tc.MASK)
 
 
@@ -269,5 +271,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near-duplicates that have a kept one; all columns stay."""
+    gone = near_duplicates(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(docs.sparkSession, "minhash").save(gone, "gone")
+    return docs.join(maybe_broadcast(gone, GONE_ROWS), F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

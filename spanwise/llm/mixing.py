@@ -69,5 +69,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix: each document as often as it is taken, with the columns of ``docs``.
+
+    A document taken in part is last in its source's order; its text is its first words, joined
+    by one space. Rows equal in id and text take equal shares. Documents without words leave.
+    """
+    plan = mix(docs, weights, most, seed, id_col, text_col, source_col).where("taken > 0")
+    plan = plan.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "epochs", "rest", F.col("size").alias("_size"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"))
+    times = F.sequence(F.lit(1), (F.col("epochs") + (F.col("rest") > 0).cast("int")).cast("int"))
+    rows = packed.join(plan, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("_row", "epochs", "rest", "_size", F.explode(times).alias("_time"))
+    words = F.array_remove(F.split(F.col(f"_row.{text_col}"), SPACE), "")
+    cut = F.when((F.col("_time") > F.col("epochs")) & (F.col("rest") < F.col("_size")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col(f"_row.{text_col}"))
+    return rows.select(*[cut.alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")

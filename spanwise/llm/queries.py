@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, minhash, mixing, quality, sharding, substring
+from . import decontaminate, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": shards.query,
     "op2_substring_dedup": substring.query,
+    "op3_secret_scan": secrets.query,
+    "op4_license_scan": licences.query,
     "op5_quality_rules": quality.query,
     "op6_sharding": sharding.query,
     "op7_benchmark_decontamination": decontaminate.query,
