@@ -79,8 +79,8 @@ def regions(frames: DataFrame, tracked: DataFrame, full: DataFrame, top: int = T
     hit = intervals.points_in(open_frames.withColumnRenamed("pts_ms", "at"), segments(tracked), ["video_id"], "at", "inner", 10_000)
     moving = (F.col("pts_ms1").isNotNull()) & (F.col("at") > F.col("pts_ms"))
     f = (F.col("at") - F.col("pts_ms")) / (F.col("pts_ms1") - F.col("pts_ms"))
-    place = [F.round(F.when(moving, F.col(c) + (F.col(f"{c}1") - F.col(c)) * f).otherwise(F.col(c)), 6).alias(c) for c in ("l", "t", "r", "b")]
+    place = [(F.floor(F.when(moving, F.col(c) + (F.col(f"{c}1") - F.col(c)) * f).otherwise(F.col(c)) * 1e6 + 0.5) / 1e6).alias(c) for c in ("l", "t", "r", "b")]
     placed = hit.select("video_id", F.col("at").alias("pts_ms"), "track_key", *place)
-    area = F.round((F.col("r") - F.col("l")) * (F.col("b") - F.col("t")), 9)
+    area = F.floor((F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) * 1e9 + 0.5)
     rank = F.row_number().over(Window.partitionBy("video_id", "pts_ms").orderBy(area.desc(), "track_key"))
     return placed.withColumn("rank", rank).where(F.col("rank") <= top)

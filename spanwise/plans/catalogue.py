@@ -187,8 +187,8 @@ def track_votes(spark, d):
  hit AS (SELECT op.video_id, op.pts_ms AS ft, track_key FROM op JOIN span ON span.video_id = op.video_id AND op.pts_ms BETWEEN start_ms AND end_ms),
  fa AS (SELECT hit.video_id, hit.ft, hit.track_key, arg_max(struct_pack(p := k.pts_ms, l := k.l, t := k.t, r := k.r, b := k.b), struct_pack(a := k.pts_ms, b := k.event_id)) FILTER (WHERE k.pts_ms <= ft) AS p0,
    arg_min(struct_pack(p := k.pts_ms, l := k.l, t := k.t, r := k.r, b := k.b), struct_pack(a := k.pts_ms, b := k.event_id)) FILTER (WHERE k.pts_ms > ft) AS p1 FROM hit JOIN track k ON k.video_id = hit.video_id AND k.track_key = hit.track_key GROUP BY 1, 2, 3),
- pl AS (SELECT video_id, ft, track_key, {", ".join(f"round(CASE WHEN p0 IS NULL THEN p1.{c} WHEN p1 IS NULL OR ft <= p0.p THEN p0.{c} ELSE p0.{c} + (p1.{c} - p0.{c}) * ((ft - p0.p) / (p1.p - p0.p)) END, 6) AS {c}" for c in "ltrb")} FROM fa),
- rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, ft ORDER BY round((r - l) * (b - t), 9) DESC, track_key) AS rank FROM pl)
+ pl AS (SELECT video_id, ft, track_key, {", ".join(f"floor((CASE WHEN p0 IS NULL THEN p1.{c} WHEN p1 IS NULL OR ft <= p0.p THEN p0.{c} ELSE p0.{c} + (p1.{c} - p0.{c}) * ((ft - p0.p) / (p1.p - p0.p)) END) * 1e6 + 0.5e0) / 1e6 AS {c}" for c in "ltrb")} FROM fa),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, ft ORDER BY floor((r - l) * (b - t) * 1e9 + 0.5e0) DESC, track_key) AS rank FROM pl)
  SELECT video_id, ft AS pts_ms, track_key, l, t, r, b, rank FROM rk WHERE rank <= 8""")
 def regions_at(spark, d):
     faces = src.faces(spark, d)
@@ -470,3 +470,69 @@ def latency_summary(spark, d):
 def options_wire(spark, d):
     w = S.who(F.col("who_raw"))
     return src.jobs(spark, d).select("id", w.alias("who"), F.coalesce(w, S.who_from_legacy(F.col("id") % 2 == 0)).alias("effective"), S.duration_text(F.col("duration_ms")).alias("length"))
+
+
+# ------------------------------------------------------------------ dense kernels and streams (no SQL form: tested against numpy and the batch operators)
+
+
+@query()
+def stft_roundtrip(spark, d):
+    """Per block of 65 536 samples of each track: relative error of the inverse of the transform, and a length check."""
+    import numpy as np
+    import pandas as pd
+
+    from spanwise.functions import dense
+
+    def apply(key, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("i").l.to_numpy()
+        if len(x) < 8 * 64:
+            return pd.DataFrame({"track_id": [key[0]], "block": [key[1]], "n": [len(x)], "error": [0.0]})
+        back = dense.istft(dense.stft(x, 64, 16), len(x), 64, 16)
+        return pd.DataFrame({"track_id": [key[0]], "block": [key[1]], "n": [len(back)], "error": [float(np.round(np.abs(back - x).mean() / np.abs(x).mean(), 6))]})
+
+    return _pcm(spark, d).withColumn("block", F.floor(F.col("i") / 65536)).groupBy("track_id", "block").applyInPandas(apply, "track_id string, block long, n long, error double")
+
+
+@query()
+def pixel_pack(spark, d):
+    """A 16 x 12 picture per order, packed to 8 x 6: bytes out and their sum."""
+    import numpy as np
+    import pandas as pd
+
+    from spanwise.functions import dense
+
+    def apply(batches):
+        for rows in batches:
+            out = []
+            for k in rows.o_orderkey:
+                y = (np.arange(192).reshape(12, 16) * 7 + k) % 256
+                u, v = (np.arange(48).reshape(6, 8) * 5 + k) % 256, (np.arange(48).reshape(6, 8) * 3 + k) % 256
+                packed = dense.nv21(y, u, v, 8, 6)
+                out.append((k, len(packed), int(packed.sum())))
+            yield pd.DataFrame(out, columns=["o_orderkey", "n_bytes", "total"])
+
+    return src.table(spark, d, "orders").select("o_orderkey").mapInPandas(apply, "o_orderkey long, n_bytes long, total long")
+
+
+_STREAM = f"WITH {GATE}, x AS (SELECT video_id, pts_ms - 500 AS s, pts_ms + 1500 AS e FROM gate WHERE {_fired('100')}), {_merged('x', 1, 'm')} SELECT * FROM m"
+
+
+@query(_STREAM)
+def stream_hysteresis(spark, d):
+    """Firings read back as a stream; session windows give the intervals of the batch form (unclamped)."""
+    from spanwise.streaming import twins
+
+    return _streamed(spark, gate.firings(src.gate_scores(spark, d), 100).select("video_id", F.timestamp_millis("pts_ms").alias("ts")), twins.hysteresis)
+
+
+def _streamed(spark, rows, form):
+    """``rows`` written in the shared folder, read as a stream and run through ``form`` to its end."""
+    import tempfile
+    import uuid
+
+    from spanwise.streaming import twins
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanwise-stream-")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    return twins.settle(form(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), base, "complete")
