@@ -38,9 +38,25 @@ def _probes(edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
-def _parity(line: Column) -> Column:
-    """32 parity bits of the words; an edit touches three words at most, so it flips three bits at most."""
-    return F.aggregate(F.split(line, " "), F.lit(0), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64(w), F.lit(32)).cast("int"))))
+LETTERS = "eantoirs"
+
+
+def _letters(line: Column) -> Column:
+    """Counts of eight frequent letters modulo 16, four bits each."""
+    packed = F.lit(0)
+    for k, letter in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
+    return packed
+
+
+def _letters_apart(a: Column, b: Column) -> Column:
+    """A lower bound of how far the counts are apart; an edit changes two of them by one at most."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = (F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k)).bitwiseAND(F.lit(15))
+        total = total + F.least(d, 16 - d)
+    return total
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -52,13 +68,10 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
 def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """``a1, a2, b1, b2``: hashes of two different lines within ``edits`` edits, each pair once."""
     every = _occurrences(docs, id_col, text_col, least)
-    distinct = every.groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"))
-    marked = distinct.select("k1", "n", _parity(F.col("line")).alias("bits"), _segments(edits).alias("s"), _probes(edits).alias("p"))
-    # one shuffle of slim rows; a segment and the probes that meet it differ by the role
-    rows = marked.select("k1", "n", "bits", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("s").alias("h")), F.struct(F.lit(False).alias("own"), F.col("p").alias("h")))).alias("x")).select("k1", "n", "bits", "x.own", F.explode("x.h").alias("h"))
-    index = rows.where("own").select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
-    probe = rows.where("not own").select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
-    near = F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))) <= 3 * edits
+    distinct = every.withColumn("bits", _letters(F.col("line"))).groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    index = distinct.select(F.explode(_segments(edits)).alias("h"), F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
+    probe = distinct.select(F.explode(_probes(edits)).alias("h"), F.col("k1").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
+    near = _letters_apart(F.col("ab"), F.col("bb")) <= 2 * edits
     pairs = probe.join(index, (probe.h == index.h) & (F.col("a") != F.col("b")) & near & ((F.col("an") > F.col("bn")) | (F.col("a") > F.col("b")))).select("a", "b").distinct()
     pairs = keep.save(pairs, "pairs")
     ids = keep.save(pairs.select(F.col("a").alias("_k")).unionByName(pairs.select(F.col("b").alias("_k"))).distinct(), "ids")
