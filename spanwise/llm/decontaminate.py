@@ -14,20 +14,26 @@ WINDOW, SUBSTITUTIONS = 13, 2
 SEED_ROWS, HIT_ROWS = 4_000_000, 200_000
 
 
+#: White space, control characters and punctuation: ASCII, Latin-1 but for letters, general and CJK blocks.
+BREAK = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\u2000-\u206f\u3000-\u303f]+"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+    """Lower-cased runs of what is not a break."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def seeds(texts: DataFrame, id_col: str, out: str, pos: str) -> DataFrame:
-    """``seed, out, pos``: a hash per token position and mask; masked-out positions are ignored."""
+    """``seed, out, pos``: a hash per token position and mask; masked-out positions are ignored.
+
+    The seed is null where the mask reaches beyond the text.
+    """
     hashed = texts.select(F.col(id_col).alias(out), F.transform(tokens(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
 
     def at(_: Column, i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(k), *[F.get("_h", i + j) for j in mask]) for k, mask in enumerate(MASKS)])
+        return F.array(*[F.when(F.get("_h", i + mask[-1]).isNotNull(), F.xxhash64(F.lit(k), *[F.get("_h", i + j) for j in mask])) for k, mask in enumerate(MASKS)])
 
-    whole = hashed.where(F.size("_h") > max(MASKS[0]))
-    every = whole.select(out, F.posexplode(F.flatten(F.transform("_h", at))).alias("_p", "seed"))
+    every = hashed.select(out, F.posexplode(F.flatten(F.transform("_h", at))).alias("_p", "seed"))
     return every.select("seed", out, F.floor(F.col("_p") / len(MASKS)).cast("int").alias(pos))
 
 
@@ -47,7 +53,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     keep = Scratch(docs.sparkSession, "leaks")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).where("doc_id is not null and _text is not null")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("_text")).where("item_id is not null and _text is not null").distinct()
-    known = keep.save(seeds(items, "item_id", "item_id", "_b").distinct(), "seeds")
+    known = keep.save(seeds(items, "item_id", "item_id", "_b").where("seed is not null").distinct(), "seeds")
     found = seeds(texts, "doc_id", "doc_id", "_d").join(maybe_broadcast(known, SEED_ROWS), "seed")
     hits = keep.save(found.select("doc_id", "item_id", (F.col("_d") - F.col("_b")).alias("shift")).distinct(), "hits")
     wide = (
