@@ -78,6 +78,25 @@ def _each(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.R
             yield batch.slice(i, j - i), _Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they are to be shuffled, and their sizes."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        data, offsets = tc.buffers(batch.column(1))
+        rows = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(rows, pa.binary())], names=["id", "size", "packed"])
+
+
+def _each_packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, _Block]]:
+    """Like ``_each`` for columns id, size, packed, ..."""
+    for batch in batches:
+        sizes = batch.column(1).to_numpy()
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        for i, j in tc.blocks(offsets, BLOCK):
+            texts = [pa.decompress(z.as_py(), decompressed_size=int(n), codec="zstd", asbytes=True) if n else b"" for z, n in zip(batch.column(2).slice(i, j - i), sizes[i:j], strict=True)]
+            yield batch.slice(i, j - i), _Block(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets[i : j + 1] - offsets[i], window)
+
+
 def _anchors(window: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in _each(batches, window):
@@ -91,12 +110,12 @@ def _anchors(window: int):
 
 def _windows(window: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _each(batches, window):
-            at = np.flatnonzero(block.candidates(block.placed(rows.column(2))))
+        for rows, block in _each_packed(batches, window):
+            at = np.flatnonzero(block.candidates(block.placed(rows.column(3))))
             if len(at):
                 one, two = block.hashes(window, tc.BASE_A, tc.WINDOW_A)[at], block.hashes(window, tc.BASE_B, tc.WINDOW_B)[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tc.signed(one)), pa.array(tc.signed(two)), rows.column(0).take(pa.array(block.text[at])), pa.array(block.local[at].astype(np.int32))],
+                    [pa.array(tc.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows.column(0).take(pa.array(block.text[at])), pa.array(block.local[at].astype(np.int32))],
                     names=["h1", "h2", "id", "pos"],
                 )
 
@@ -105,9 +124,9 @@ def _windows(window: int):
 
 def _removed(window: int, with_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _each(batches, window):
-            starts = block.candidates(block.placed(rows.column(2)))
-            starts[block.placed(rows.column(3))] = False
+        for rows, block in _each_packed(batches, window):
+            starts = block.candidates(block.placed(rows.column(3)))
+            starts[block.placed(rows.column(4))] = False
             s = np.flatnonzero(starts)
             gone = block.marked(s, s + window)
             total = np.concatenate(([0], np.cumsum(gone)))
@@ -141,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """Remove every word covered by a run of ``window`` words that also starts elsewhere.
 
     1. Anchors: runs of window - period + 1 words, hashed at cover positions only.
-    2. Windows around anchors that are repeated anywhere are hashed whole (128 bits).
+    2. Windows around anchors that are repeated anywhere are hashed whole (96 bits).
     3. Windows whose hash is seen once are set aside; the words of all others go.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (+ ``kept_text``). Texts with fewer than
@@ -157,10 +176,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         base = slim.select("id", "text")
     some = F.array().cast("array<int>")
     anchors = base.mapInArrow(_anchors(window), "h long, id long, pos int")
-    # docs meet their singles by id; the shuffled texts serve both joins
-    first = base.join(alone(anchors, ["h"], "lone_anchors"), "id", "left").select("id", "text", F.coalesce("lone_anchors", some).alias("lone_anchors"))
-    windows = first.mapInArrow(_windows(window), "h1 long, h2 long, id long, pos int")
-    second = first.join(alone(windows, ["h1", "h2"], "lone_windows"), "id", "left").select("id", "text", "lone_anchors", F.coalesce("lone_windows", some).alias("lone_windows"))
+    # docs meet their singles by id; the shuffled, compressed texts serve both joins
+    texts = base.mapInArrow(_packed, "id long, size long, packed binary")
+    first = texts.join(alone(anchors, ["h"], "lone_anchors"), "id", "left").select("id", "size", "packed", F.coalesce("lone_anchors", some).alias("lone_anchors"))
+    windows = first.mapInArrow(_windows(window), "h1 long, h2 int, id long, pos int")
+    second = first.join(alone(windows, ["h1", "h2"], "lone_windows"), "id", "left").select("id", "size", "packed", "lone_anchors", F.coalesce("lone_windows", some).alias("lone_windows"))
     out = second.mapInArrow(_removed(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     if unique:
         return out.withColumnRenamed("id", "doc_id")
