@@ -17,23 +17,56 @@ from .feistel import permute
 from .scratch import Scratch
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+CACHED_WORDS = 600_000
 _loaded: dict[str, object] = {}
 
 
+class _Words(dict):
+    """Ids of units between spaces as uint16 bytes, encoded when first met; a bounded cache per worker."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if self.model.vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids need more than 16 bits")
+        self.end = np.array([self.model.eos_id()], dtype=np.uint16).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text), dtype=np.uint16).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        ids = self[unit] = self.whole(unit)
+        return ids
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode what is new in one call; units of texts that are encoded whole do no harm."""
+        new = list(set().union(*texts).difference(self))
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+        self.update(zip(new, (np.array(ids, dtype=np.uint16).tobytes() for ids in self.model.encode(new, num_threads=1)), strict=True))
+
+    def ids(self, text: str, units: list[str]) -> np.ndarray:
+        parts = [self.whole(text)] if "" in units else [*map(self.__getitem__, units)]
+        parts.append(self.end)
+        return np.frombuffer(b"".join(parts), dtype=np.uint16)
+
+
 def encode(texts: list[str], tokenizer: str) -> list[np.ndarray]:
-    """uint16 ids of each text and an end mark. ``bytes``: UTF-8 bytes and 256; else a sentencepiece model's path."""
+    """uint16 ids of each text and an end mark. ``bytes``: UTF-8 bytes and 256; else a sentencepiece model's path.
+
+    A model's pieces begin at spaces and never cross one, so a text is the ids of its units between
+    spaces in order. Texts with spaces in a row or at an end are encoded whole.
+    """
     if tokenizer == "bytes":
         return [np.append(np.frombuffer(t.encode(), dtype=np.uint8).astype(np.uint16), np.uint16(256)) for t in texts]
     if tokenizer not in _loaded:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-        if model.vocab_size() > 1 << 16:
-            raise ValueError(f"{tokenizer}: ids need more than 16 bits")
-        _loaded[tokenizer] = model
-    model = _loaded[tokenizer]
-    end = model.eos_id()
-    return [np.array([*ids, end], dtype=np.uint16) for ids in model.encode(texts, num_threads=1)]
+        _loaded[tokenizer] = _Words(tokenizer)
+    split = [t.split(" ") for t in texts]
+    _loaded[tokenizer].learn(split)
+    return [*map(_loaded[tokenizer].ids, texts, split)]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], tokenizer: str, some: int = 200) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -148,7 +181,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, length:
     count = -(-total // length)
     pieces = slim.mapInArrow(_pieces(tokenizer, starts, length, count, key), "slot long, at int, ids binary")
     shards = max(1, -(-count // per_shard))
-    pieces = pieces.withColumn("_shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(shards, "_shard").sortWithinPartitions("slot", "at").drop("_shard")
+    # slots are dense and evenly filled, so the ranges are known: no sampling pass over the texts
+    pieces = pieces.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
     pieces.mapInArrow(_store(out, length, per_shard, count, pad), "shard long, first_slot long, slots long, tokens long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{out}/_manifest")
     return spark.read.parquet(f"{out}/_manifest")
 
