@@ -43,7 +43,7 @@ class _Words(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode what is new in one call; units of texts that are encoded whole do no harm."""
-        new = list(set().union(*texts).difference(self))
+        new = list({u for units in texts for u in units if u not in self})
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
         self.update(zip(new, (np.array(ids, dtype=np.uint16).tobytes() for ids in self.model.encode(new, num_threads=1)), strict=True))
