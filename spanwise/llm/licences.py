@@ -110,3 +110,30 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_canonical(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(copyright[ \\t]+(\\(c\\)|©|[0-9])|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+    for pattern, one in EQUIVALENT:
+        out = f"regexp_replace({out}, '{pattern}', '{one}', 'g')"
+    out = f"regexp_replace(replace({out}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return f"regexp_replace({out}, ' ?\\n ?', chr(10), 'g')"
+
+
+def _sql_flat(text: str) -> str:
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+ORACLE = f"""
+WITH known(license_id, text) AS (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)}
+), k AS (
+  SELECT DISTINCT license_id, sha256({_sql_flat(_sql_canonical("text"))}) AS digest FROM known
+), d AS (
+  SELECT doc_id, {_sql_canonical("text")} AS c FROM documents WHERE text IS NOT NULL
+), u AS (
+  SELECT doc_id, 'text' AS unit, {_sql_flat("c")} AS x FROM d
+  UNION ALL SELECT doc_id, 'line', trim(unnest(string_split(c, chr(10)))) FROM d
+  UNION ALL SELECT doc_id, 'paragraph', {_sql_flat("p")} FROM (SELECT doc_id, unnest(regexp_split_to_array(c, '\\n{{2,}}')) AS p FROM d WHERE regexp_matches(c, '\\n{{2,}}'))
+)
+SELECT doc_id, license_id, unit, count(*) AS n_found FROM u JOIN k ON digest = sha256(x) WHERE x <> '' GROUP BY ALL
+"""

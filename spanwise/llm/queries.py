@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring.ORACLE,
+    "op4_license_scan": licences.ORACLE,
     "op5_quality_rules": quality.ORACLE,
 }
