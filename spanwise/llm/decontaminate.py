@@ -63,10 +63,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     start, stop = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("_i"), F.size("_w") - F.col("shift"))
     aligned = F.zip_with(F.slice("_w", start + F.col("shift") + 1, F.greatest(stop - start, F.lit(0))), F.slice("_i", start + 1, F.greatest(stop - start, F.lit(0))), lambda a, b: (a == b).cast("int"))
-    wide = wide.select("doc_id", "item_id", "shift", F.least(F.lit(WINDOW), F.size("_i")).alias("_n"), aligned.alias("_e"))
+    # the mark keeps filters above: below, they would split the text again for every window
+    wide = wide.select("doc_id", "item_id", "shift", F.least(F.lit(WINDOW), F.size("_i")).alias("_n"), aligned.alias("_e"), F.monotonically_increasing_id().alias("_mark"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_e") - F.col("_n") + 1), lambda s: F.aggregate(F.slice("_e", s, F.col("_n")), F.lit(0), lambda x, y: x + y)))
     matched = F.aggregate("_e", F.lit(0), lambda x, y: x + y)
-    wide = wide.where(F.size("_e") >= F.col("_n")).select("doc_id", "item_id", "shift", "_n", best.alias("best_window"), matched.alias("matched"))
+    wide = wide.where((F.size("_e") >= F.col("_n")) & (F.col("_mark") >= 0)).select("doc_id", "item_id", "shift", "_n", best.alias("best_window"), matched.alias("matched"))
     good = wide.where(F.col("best_window") >= F.col("_n") - F.floor(F.col("_n") * SUBSTITUTIONS / WINDOW))
     return good.groupBy("doc_id", "item_id").agg(F.min("shift").alias("at_word"), F.max("matched").cast("long").alias("matched"), F.max("best_window").cast("long").alias("best_window"))
 

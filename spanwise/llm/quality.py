@@ -97,9 +97,14 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns, whatever those are called."""
+    """The rows that pass, with their own columns, whatever those are called.
+
+    The mark keeps the optimizer from moving the filter below the projections, where it would
+    repeat every measure once per place that uses it.
+    """
     packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    return verdicts(measures(packed, "_text", ["_row"]), rules).where("kept").select("_row.*")
+    judged = verdicts(measures(packed, "_text", ["_row"]), rules).select("_row", "kept", F.monotonically_increasing_id().alias("_mark"))
+    return judged.where("kept and _mark >= 0").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
