@@ -71,7 +71,8 @@ def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col
     distinct = every.withColumn("bits", _letters(F.col("line"))).groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     index = distinct.select(F.explode(_segments(edits)).alias("h"), F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
     probe = distinct.select(F.explode(_probes(edits)).alias("h"), F.col("k1").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
-    near = _letters_apart(F.col("ab"), F.col("bb")) <= 2 * edits
+    # of the edits, as many as the lengths differ by are insertions, which change one count only
+    near = _letters_apart(F.col("ab"), F.col("bb")) <= 2 * edits - (F.col("an") - F.col("bn"))
     pairs = probe.join(index, (probe.h == index.h) & (F.col("a") != F.col("b")) & near & ((F.col("an") > F.col("bn")) | (F.col("a") > F.col("b")))).select("a", "b").distinct()
     pairs = keep.save(pairs, "pairs")
     ids = keep.save(pairs.select(F.col("a").alias("_k")).unionByName(pairs.select(F.col("b").alias("_k"))).distinct(), "ids")
