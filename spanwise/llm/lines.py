@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .sized import maybe_broadcast
 
+#: Lines are compared by edits from 15 characters an edit on; exact repeats need no length.
 EDITS, LEAST_CHARS = 2, 30
+WORD = "[\\p{L}\\p{N}]"
 ID_ROWS = 200_000
 
 
@@ -59,10 +61,11 @@ def _letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """``doc, at, line, n, k1, k2`` for every line of at least ``least`` characters; the hashes are 128 bits."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool = False) -> DataFrame:
+    """``doc, at, line, n, k1, k2`` for every line of at least ``least`` characters, or with ``short`` a word; the hashes are 128 bits."""
     split = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("at", "line"))
-    return split.where(F.length("line") >= least).select("doc", "at", "line", F.length("line").alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    taken = F.length("line") >= least
+    return split.where(taken | F.col("line").rlike(WORD) if short else taken).select("doc", "at", "line", F.length("line").alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -84,40 +87,42 @@ def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col
     return checked.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc, at`` of every line that an earlier line equals or is within ``edits`` edits of.
 
-    Earlier: by document id, then by place. Lines under ``least`` characters are left alone.
+    Earlier: by document id, then by place. Lines under ``least`` characters are left alone, or
+    with ``short`` are compared for equality alone if they hold a letter or digit.
     """
     keep = Scratch(docs.sparkSession, "lines")
     links = keep.save(similar_pairs(docs, keep, edits, least, id_col, text_col), "links")
-    every = _occurrences(docs, id_col, text_col, least).select("doc", "at", "k1", "k2")
-    firsts = keep.save(every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first")), "firsts")
+    every = _occurrences(docs, id_col, text_col, least, short).select("doc", "at", "k1", "k2")
+    firsts = keep.save(every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first"), (F.count("*") > 1).alias("again")), "firsts")
     both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     around = both.join(firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "first"), ["b1", "b2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("first").alias("near"))
-    limits = firsts.join(around, ["k1", "k2"], "left").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.least("first", "near").alias("least"))
+    # a line that is there once is its own first, so it needs no limit of its own
+    limits = firsts.where("again").drop("again").unionByName(around.withColumnRenamed("near", "first")).groupBy(F.col("k1").alias("_1"), F.col("k2").alias("_2")).agg(F.min("first").alias("least"))
     placed = every.join(limits, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")))
     return placed.where(F.struct("doc", "at") > F.col("least")).select("doc", "at")
 
 
-def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` per document; ``removed``: places from 0, comma-joined.
 
     Null text: no lines. Rows that share an id are one document. A null id sorts first and has
     its row. Ties cannot occur, as places differ. An empty table gives an empty table.
     """
-    gone = repeated_lines(docs, edits, least, id_col, text_col).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
     counts = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.sum(F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n")), F.lit(0))).cast("long").alias("n_lines"))
     out = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("places", ","), F.lit("")).alias("removed"))
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts; other columns stay."""
-    gone = repeated_lines(docs, edits, least, id_col, text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
+    gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line)), lambda x: x.isNotNull())
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn(text_col, F.array_join(lines, "\n")).drop("_doc", "_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)

@@ -241,6 +241,15 @@ def test_lines(spark):
     assert all(left[d] == (None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in want[d])) for d, t in enumerate(texts))
 
 
+def test_short_lines(spark, tmp_path):
+    texts = ["Wh the.\n\n--\nWh the.", "Le.\nWh the.\n--\n\n" + "-" * 30, None, "Le.\nWh thE.\n" + "-" * 30, "é\né\n7\n7"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.removed) for r in lines.query(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, "3"), 1: (1, "1"), 2: (0, ""), 3: (2, "0,2"), 4: (2, "1,3")}
+    left = {r.doc_id: r.text for r in lines.drop_lines(table(spark, texts), short=True).collect()}
+    assert left == {0: "Wh the.\n\n--", 1: "Le.\n--\n\n" + "-" * 30, 2: None, 3: "Wh thE.", 4: "é\n7"}
+
+
 def test_secrets(spark):
     texts = [
         "x token = 'abcdef12' y", "PASSWORD: short", "secret=token:abcdefgh", "AKIA" + "A1" * 8, "id " + "0af3" * 6, None, "",
