@@ -18,11 +18,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
-#: A name, an assignment sign and a quoted literal, a bare literal or another name.
-PAIR = re.compile(r"""(?a)(?P<name>[A-Za-z_][\w.-]{0,80})["']?\]?[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,8}(?:"(?P<dq>[^"\\\n]{1,512})"|'(?P<sq>[^'\\\n]{1,512})'|`(?P<bq>[^`\n]{1,512})`|(?P<bare>[A-Za-z0-9+/_.=~$-]{1,512}))""")
+#: A name, an assignment sign and a quoted literal of any length, a bare literal or another name.
+#: No class holds its closing quote and the repeats are possessive, so matching stays linear.
+PAIR = re.compile(r"""(?a)(?P<name>[A-Za-z_][\w.-]{0,80})["']?\]?[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,8}(?:"(?P<dq>(?:[^"\\\n]++|\\.)++)"|'(?P<sq>(?:[^'\\\n]++|\\.)++)'|`(?P<bq>[^`\n]++)`|(?P<bare>[A-Za-z0-9+/_.=~$-]++))""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of name parts; pairs count together ("api key"), and a name is sensitive from 2 on.
 STRONG = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "credential": 3, "credentials": 3, "apikey": 3, "bearer": 2, "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "client": 1, "encryption": 1, "signing": 1}
+#: First and last line of a PEM key; their spaces are not the key's.
+ARMOUR = re.compile(r"-----(?:BEGIN|END)[A-Z0-9\x20]+-----")
 PLAIN = re.compile(r"(?ai)^(?:true|false|none|null|nil|undefined|changeme|example|sample|test|xxx+|your[-_ ].*|\*+|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 
@@ -39,6 +42,7 @@ def entropy(value: str) -> float:
 
 def looks_secret(value: str, name_score: int) -> bool:
     """A strong name needs a plausible literal, a weaker one a random-looking literal."""
+    value = ARMOUR.sub("", value)
     if len(value) < 8 or PLAIN.match(value) or " " in value:
         return False
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)

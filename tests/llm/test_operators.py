@@ -264,6 +264,18 @@ def test_secrets(spark):
     assert secrets.redact(table(spark, texts)).where("doc_id = 8").first().text == 'db_pwd: "[SECRET]"'
 
 
+def test_long_secrets(spark):
+    rng = random.Random(9)
+    key = "".join(rng.choice("ABCDEFabcdef0123456789+/xyzXYZ") for _ in range(720))
+    pem = f"-----BEGIN PRIVATE KEY-----\\n{key}\\n-----END PRIVATE KEY-----\\n"
+    texts = [f'private_key = "{key}"', f"private_key={key}", f"private_key = '{key}'", f"private_key = `{key}`", f'{{"private_key": "{pem}"}}', r'db_pwd = "ab\"Zx81kLmn02Qp"', r"db_pwd = 'ab\'Zx81kLmn02Qp'", 'db_pwd = "Zx81kLmn02Qp\\']
+    got = {r.doc_id: r.spans for r in secrets.scan(table(spark, texts)).collect()}
+    assert got == {0: "literal:15:735", 1: "literal:12:732", 2: "literal:15:735", 3: "literal:15:735", 4: f"literal:17:{17 + len(pem)}", 5: "literal:10:26", 6: "literal:10:26", 7: ""}
+    left = {r.doc_id: r.text for r in secrets.redact(table(spark, texts)).collect()}
+    assert left[0] == 'private_key = "[SECRET]"' and left[1] == "private_key=[SECRET]" and left[5] == 'db_pwd = "[SECRET]"'
+    assert secrets.lexed_spans('a_key = "' * 200_000, []) == [] == secrets.lexed_spans('key = "' + "\\a" * 500_000, [])
+
+
 def test_licences(spark):
     mit = licences.KNOWN[0][1]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace('"', "'")
