@@ -86,7 +86,7 @@ def lexed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             literals[name] = known
             if score >= 2 and looks_secret(known[2], score):
                 found.setdefault(known[:2], "constant")
-    return [(s, e, k) for (s, e), k in found.items() if not any(b < e and s < f for b, f, _ in base)]
+    return [(s, e, k) for (s, e), k in found.items() if not any(b <= s and e <= f for b, f, _ in base)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -112,7 +112,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_lexed``. Spans are
     kind:start:end in code points. Added kinds: ``literal`` (a sensitive name's value) and
-    ``constant`` (a value defined under another name), never inside a base span.
+    ``constant`` (a value defined under another name), never wholly inside one base span; one that reaches
+    beyond it is there beside it.
 
     Null text: empty. Null or repeated ids keep a row each. An empty table gives an empty
     table; other columns play no part.

@@ -276,6 +276,14 @@ def test_long_secrets(spark):
     assert secrets.lexed_spans('a_key = "' * 200_000, []) == [] == secrets.lexed_spans('key = "' + "\\a" * 500_000, [])
 
 
+def test_secrets_beyond_base_spans(spark):
+    texts = ['password = "hunter2!Pa$$w0rd-91xQ"', "my_pwd = 'x!" + "0af3" * 6 + "!Qz'", 'password = "hunter2hunter2"']
+    got = {r.doc_id: (r.spans, r.n_lexed) for r in secrets.scan(table(spark, texts)).collect()}
+    assert got == {0: ("assign:0:19,literal:12:33", 1), 1: ("literal:10:39,hex:12:36", 1), 2: ("assign:0:26", 0)}
+    left = {r.doc_id: r.text for r in secrets.redact(table(spark, texts)).collect()}
+    assert left == {0: '[SECRET]"', 1: "my_pwd = '[SECRET]'", 2: '[SECRET]"'}
+
+
 def test_licences(spark):
     mit = licences.KNOWN[0][1]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace('"', "'")
