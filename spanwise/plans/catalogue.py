@@ -116,9 +116,19 @@ def gate_coverage(spark, d):
     return intervals.coverage(_gate_intervals(spark, d, 100), ["video_id"])
 
 
+def _bridged(events):
+    return intervals.merge(events.select("video_id", F.col("pts_ms").alias("s"), (F.col("pts_ms") + F.col("k")).alias("e")), 400, ["video_id"])
+
+
 @query(f"WITH {EV}, x AS (SELECT video_id, pts_ms AS s, pts_ms + k AS e FROM ev WHERE event_id % 7 = 0), {_merged('x', 400, 'm')} SELECT * FROM m")
 def interval_bridge_merge(spark, d):
-    return intervals.merge(src.events(spark, d).where("event_id % 7 = 0").select("video_id", F.col("pts_ms").alias("s"), (F.col("pts_ms") + F.col("k")).alias("e")), 400, ["video_id"])
+    """A seventh of the events; ``interval_bridge_merge_all`` takes them all."""
+    return _bridged(src.events(spark, d).where("event_id % 7 = 0"))
+
+
+@query(ORACLES["interval_bridge_merge"].replace(" WHERE event_id % 7 = 0", ""))
+def interval_bridge_merge_all(spark, d):
+    return _bridged(src.events(spark, d))
 
 
 @query(f"WITH {GATE}, {_intervals(40, 'iv')}, {TRACK[len(EV) + 2:]}, u AS (SELECT video_id, s, e FROM iv UNION ALL SELECT video_id, start_ms, end_ms FROM span), {_merged('u', 400, 'm')} SELECT * FROM m WHERE e - s >= 500")
@@ -239,9 +249,15 @@ def frame_stride(spark, d):
   SELECT o.video_id, o.w, o.n, o.pts_ms, CASE WHEN o.pts_ms < f.slot THEN f.slot WHEN f.slot + 700 <= o.pts_ms THEN o.pts_ms + 700 ELSE f.slot + 700 END, o.pts_ms >= f.slot FROM f JOIN o ON o.video_id = f.video_id AND o.w = f.w AND o.n = f.n + 1)
  SELECT video_id, pts_ms FROM f WHERE hit""")
 def slot_sampler(spark, d):
+    """Two thirds of the frames; ``slot_sampler_all`` takes them all."""
     return planning.slot_samples(src.events(spark, d).where("pts_ms % 3 <> 1").select("video_id", "pts_ms").distinct(), 700)
 
 
+@query(ORACLES["slot_sampler"].replace(" WHERE pts_ms % 3 <> 1", ""))
+def slot_sampler_all(spark, d):
+    return planning.slot_samples(src.events(spark, d).select("video_id", "pts_ms").distinct(), 700)
+
+
 _PLAN = JOBS + """, vd AS (SELECT id AS video_id, duration_ms FROM jobs WHERE duration_ms > 300000 AND duration_ms >= 1800000),
  cu AS (SELECT video_id, duration_ms, 0::BIGINT AS c FROM vd UNION SELECT video_id, duration_ms, duration_ms FROM vd UNION SELECT video_id, duration_ms, greatest(0, least(duration_ms, i * 300000 + 2137)) FROM (SELECT *, unnest(range(1, CAST((duration_ms + 299999) // 300000 AS BIGINT))) AS i FROM vd)),
  pl AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY c) - 1 AS idx, c AS start_ms, lead(c) OVER (PARTITION BY video_id ORDER BY c) AS end_ms FROM cu)"""
@@ -301,9 +317,20 @@ def stratified_stats(spark, d):
     return audio.stats(picked, ["track_id"], "l").select("track_id", "frames", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+def _grid(jobs):
+    return audio.chunk_grid(jobs.select(F.col("id").alias("track_id"), F.floor(F.col("duration_ms") * 441 / 10).alias("frames"))).withColumn("chunk", F.col("chunk").cast("long"))
+
+
 @query(f"WITH {JOBS}, t AS (SELECT id AS track_id, duration_ms * 441 // 10 AS f FROM jobs WHERE id % 50 = 1), c AS (SELECT track_id, f, unnest(range(0, CAST(ceil((f + 22050) / 103194e0) AS BIGINT))) AS chunk FROM t WHERE f > 0) SELECT track_id, chunk, chunk * 103194 - 22050 AS off, least(chunk * 103194 - 22050 + 114660, f) - greatest(chunk * 103194 - 22050, 0) AS n FROM c")
 def chunk_grid(spark, d):
-    return audio.chunk_grid(src.jobs(spark, d).where("id % 50 = 1").select(F.col("id").alias("track_id"), F.floor(F.col("duration_ms") * 441 / 10).alias("frames"))).withColumn("chunk", F.col("chunk").cast("long"))
+    """A fiftieth of the jobs; ``chunk_grid_all`` takes them all."""
+    return _grid(src.jobs(spark, d).where("id % 50 = 1"))
+
+
+@query()
+def chunk_grid_all(spark, d):
+    """Over a thousand rows a job, so no SQL is registered; a test compares with brute force."""
+    return _grid(src.jobs(spark, d))
 
 
 @query(f"WITH {PCM}, c AS (SELECT track_id, i, l, unnest([i // 36 - 1, i // 36]) AS ch FROM pcm), x AS (SELECT track_id, i AS pos, i - ch * 36 AS j, l * (1 + ch % 3) AS v FROM c WHERE ch >= 0 AND i - ch * 36 < 40) SELECT track_id, pos, round(sum(least(j + 1, 40 - j) / 20e0 * v) / sum(least(j + 1, 40 - j) / 20e0), 9) AS x FROM x GROUP BY 1, 2")

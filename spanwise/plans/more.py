@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import scalar as S
 from spanwise.operators import gate
-from spanwise.plans.catalogue import EV, FACE, GATE, JOBS, MUSIC, PCM, _music, _pcm, query
+from spanwise.plans.catalogue import EV, FACE, GATE, JOBS, MUSIC, ORACLES, PCM, _music, _pcm, query
 from spanwise.sources import fixtures as src
 
 
@@ -102,9 +102,19 @@ def stage_durations(spark, d):
     return src.events(spark, d).withColumn("nx", nx).where("nx is not null").select("user_id", "event_id", (F.col("nx") - F.col("pts_ms")).alias("took"))
 
 
+def _floored(music):
+    return music.select("video_id", "chunk", F.when(F.col("score") < F.lit(0.001).cast("float"), F.lit(0).cast("float")).otherwise(F.col("score")).alias("floored"))
+
+
 @query(f"WITH {MUSIC} SELECT video_id, chunk, CASE WHEN score < 0.001::FLOAT THEN 0::FLOAT ELSE score END AS floored FROM music WHERE chunk % 3 = 0")
 def silence_floor(spark, d):
-    return _music(spark, d).where("chunk % 3 = 0").select("video_id", "chunk", F.when(F.col("score") < F.lit(0.001).cast("float"), F.lit(0).cast("float")).otherwise(F.col("score")).alias("floored"))
+    """A third of the chunks; ``silence_floor_all`` takes them all."""
+    return _floored(_music(spark, d).where("chunk % 3 = 0"))
+
+
+@query(ORACLES["silence_floor"].replace(" WHERE chunk % 3 = 0", ""))
+def silence_floor_all(spark, d):
+    return _floored(_music(spark, d))
 
 
 @query("WITH x AS (SELECT vec_id, greatest(list_max(embedding[1:20]), list_max(embedding[41:64])) AS m FROM embeddings) SELECT vec_id, round(m::DOUBLE, 6) AS music FROM x")
