@@ -11,7 +11,7 @@ from .sized import maybe_broadcast
 #: Token positions that count. Any 13 aligned tokens with at most two substitutions hold one of the two masks unharmed.
 MASKS = ((0, 2, 4, 5, 6, 7), (0, 1, 2, 3, 6, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
-SEED_ROWS, HIT_ROWS = 4_000_000, 200_000
+SEED_BYTES, HIT_BYTES = 256 << 20, 16 << 20
 
 
 #: White space, control characters and punctuation: ASCII, Latin-1 but for letters, general and CJK blocks.
@@ -54,11 +54,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).where("doc_id is not null and _text is not null")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("_text")).where("item_id is not null and _text is not null").distinct()
     known = keep.save(seeds(items, "item_id", "item_id", "_b").where("seed is not null").distinct(), "seeds")
-    found = seeds(texts, "doc_id", "doc_id", "_d").join(maybe_broadcast(known, SEED_ROWS), "seed")
+    found = seeds(texts, "doc_id", "doc_id", "_d").join(maybe_broadcast(known, SEED_BYTES), "seed")
     hits = keep.save(found.select("doc_id", "item_id", (F.col("_d") - F.col("_b")).alias("shift")).distinct(), "hits")
     wide = (
-        texts.join(maybe_broadcast(hits, HIT_ROWS), "doc_id")
-        .join(maybe_broadcast(keep.save(items.select("item_id", tokens(F.col("_text")).alias("_i")), "items"), HIT_ROWS), "item_id")
+        texts.join(maybe_broadcast(hits, HIT_BYTES), "doc_id")
+        .join(maybe_broadcast(keep.save(items.select("item_id", tokens(F.col("_text")).alias("_i")), "items"), HIT_BYTES), "item_id")
         .select("doc_id", "item_id", "shift", "_i", tokens(F.col("_text")).alias("_w"))
     )
     start, stop = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("_i"), F.size("_w") - F.col("shift"))
@@ -76,7 +76,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The rows of ``docs`` that leak no item."""
     bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaks")).distinct()
     bad = Scratch(docs.sparkSession, "leaks").save(bad, "ids")
-    return docs.join(maybe_broadcast(bad, HIT_ROWS), F.col(id_col) == F.col("_leaks"), "left_anti")
+    return docs.join(maybe_broadcast(bad, HIT_BYTES), F.col(id_col) == F.col("_leaks"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .sized import maybe_broadcast
 
-DIGEST_ROWS = 100_000
+DIGEST_BYTES = 16 << 20
 
 _PERMIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
 _MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         known = spark.createDataFrame(list(KNOWN), "license_id string, text string")
     keep = Scratch(spark, "licences")
     digests = keep.save(known_digests(known), "digests")
-    sizes = [r["n"] for r in digests.select("n").distinct().limit(DIGEST_ROWS).collect()] if digests.select("n").distinct().count() <= 10_000 else None
+    sizes = [r["n"] for r in digests.select("n").distinct().collect()] if digests.select("n").distinct().count() <= 10_000 else None
     one = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col).cast("string")).alias("_c")).where("_c is not null")
     one = one.select("doc_id", F.split("_c", "\n").alias("_l"), F.split("_c", "\n{2,}").alias("_p"), _flat(F.col("_c")).alias("_t"))
     units = one.select(
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     ).select("doc_id", "u.unit", "u.x")
     if sizes is not None:
         units = units.where(F.length("x").isin(sizes) if sizes else F.lit(False))
-    found = units.select("doc_id", "unit", F.sha2("x", 256).alias("digest")).join(maybe_broadcast(digests.select("license_id", "digest"), DIGEST_ROWS), "digest")
+    found = units.select("doc_id", "unit", F.sha2("x", 256).alias("digest")).join(maybe_broadcast(digests.select("license_id", "digest"), DIGEST_BYTES), "digest")
     return found.groupBy("doc_id", "license_id", "unit").agg(F.count("*").alias("n_found"))
 
 

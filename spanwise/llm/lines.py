@@ -11,7 +11,7 @@ from .sized import maybe_broadcast
 #: Lines are compared by edits from 15 characters an edit on; exact repeats need no length.
 EDITS, LEAST_CHARS = 2, 30
 WORD = "[\\p{L}\\p{N}]"
-ID_ROWS = 200_000
+ID_BYTES = 16 << 20
 
 
 def _segments(edits: int) -> Column:
@@ -79,7 +79,7 @@ def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col
     pairs = probe.join(index, (probe.h == index.h) & (F.col("a") != F.col("b")) & near & ((F.col("an") > F.col("bn")) | (F.col("a") > F.col("b")))).select("a", "b").distinct()
     pairs = keep.save(pairs, "pairs")
     ids = keep.save(pairs.select(F.col("a").alias("_k")).unionByName(pairs.select(F.col("b").alias("_k"))).distinct(), "ids")
-    texts = every.join(maybe_broadcast(ids, ID_ROWS), F.col("k1") == F.col("_k"), "left_semi").groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    texts = every.join(maybe_broadcast(ids, ID_BYTES), F.col("k1") == F.col("_k"), "left_semi").groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     texts = keep.save(texts, "lines")
     one = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("line").alias("_la"))
     two = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("line").alias("_lb"))

@@ -18,7 +18,7 @@ from .sized import maybe_broadcast
 SLOTS = 252
 BLOCK = 1 << 21
 GROUP = 256
-GONE_ROWS = 200_000
+GONE_BYTES = 16 << 20
 EMPTY = np.uint64(tc.MASK)
 
 
@@ -275,7 +275,7 @@ def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str
     """``docs`` without the near-duplicates that have a kept one; all columns stay."""
     gone = near_duplicates(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "minhash").save(gone, "gone")
-    return docs.join(maybe_broadcast(gone, GONE_ROWS), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(maybe_broadcast(gone, GONE_BYTES), F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

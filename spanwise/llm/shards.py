@@ -9,15 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import textcore as tc
 from .feistel import permute
 from .scratch import Scratch
+from .sized import maybe_broadcast
+from .textcore import blocks, buffers
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+SPACE_MARK = "\u2581"
 CACHED_WORDS = 600_000
+#: Tokens of a stored run, bytes of text encoded at once, shards that one task writes at most.
+RUN, BLOCK, TASK_SHARDS = 1 << 18, 1 << 20, 16
+#: A row per input partition is sent to every executor up to this size, else joined by shuffling.
+STARTS_BYTES = 64 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -58,67 +64,62 @@ def encode(texts: list[str], tokenizer: str) -> list[np.ndarray]:
     """uint16 ids of each text and an end mark. ``bytes``: UTF-8 bytes and 256; else a sentencepiece model's path.
 
     A model's pieces begin at spaces and never cross one, so a text is the ids of its units between
-    spaces in order. Texts with spaces in a row or at an end are encoded whole.
+    spaces in order. Texts with spaces in a row or at an end, and those that hold the mark which
+    stands for a space inside models, are encoded whole.
     """
     if tokenizer == "bytes":
         return [np.append(np.frombuffer(t.encode(), dtype=np.uint8).astype(np.uint16), np.uint16(256)) for t in texts]
     if tokenizer not in _loaded:
         _loaded[tokenizer] = _Words(tokenizer)
-    split = [t.split(" ") for t in texts]
+    split = [[""] if SPACE_MARK in t else t.split(" ") for t in texts]
     _loaded[tokenizer].learn(split)
     return [*map(_loaded[tokenizer].ids, texts, split)]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], tokenizer: str, some: int = 200) -> Iterator[tuple[np.ndarray, bytes]]:
-    """Ids of one row after another, and bytes that tell which row it is."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, some):
-            part = batch.slice(i, some)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for name, ids in zip(part.column(0).to_pylist(), encode(texts, tokenizer), strict=True):
-                yield ids, repr((name, len(ids))).encode()
+def _tokens(tokenizer: str):
+    """Texts to runs of at most RUN tokens: the partition, tokens before the run in it, the ids compressed."""
+    target = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
 
-
-def _count(tokenizer: str):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, hashlib.sha256()
-        for ids, mark in _texts(batches, tokenizer):
-            total += len(ids)
-            seen.update(mark)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([total], pa.int64()), "rows_sha256": [seen.hexdigest()]})
+        part, codec, before, held, size = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=6), 0, [], 0
+
+        def runs() -> Iterator[pa.RecordBatch]:
+            nonlocal before
+            ids = np.concatenate(held)
+            for i in range(0, len(ids), RUN):
+                run = ids[i : i + RUN]
+                yield pa.RecordBatch.from_pydict({"part": [part], "before": [before], "n": [len(run)], "ids": [codec.compress(run.tobytes(), asbytes=True)]}, schema=target)
+                before += len(run)
+
+        for batch in batches:
+            _, offsets = buffers(batch.column(0))
+            for i, j in blocks(offsets, BLOCK):
+                for ids in encode([t or "" for t in batch.column(0).slice(i, j - i).to_pylist()], tokenizer):
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= RUN:
+                        yield from runs()
+                        held, size = [], 0
+        if held:
+            yield from runs()
 
     return apply
 
 
-def _pieces(tokenizer: str, starts: dict[int, tuple[int, str]], length: int, count: int, key: int):
-    target = pa.schema([("slot", pa.int64()), ("at", pa.int32()), ("ids", pa.binary())])
+def _pieces(length: int, count: int, key: int):
+    """Runs to pieces of sequences: the sequence's slot, where in it the piece begins, its ids."""
+    target = pa.schema([("slot", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, expected = starts[TaskContext.get().partitionId()]
-        seen = hashlib.sha256()
-        numbers, ats, pieces, held = [], [], [], 0
-
-        def full() -> pa.RecordBatch:
-            slots = permute(np.array(numbers, dtype=np.int64), count, key)
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(ats, pa.int32()), pa.array(pieces, pa.binary())], schema=target)
-
-        for ids, mark in _texts(batches, tokenizer):
-            seen.update(mark)
-            done = 0
-            while done < len(ids):
-                at = place % length
-                take = min(length - at, len(ids) - done)
-                numbers.append(place // length)
-                ats.append(at)
-                pieces.append(ids[done : done + take].tobytes())
-                done, place, held = done + take, place + take, held + take
-            if held > 1 << 20:
-                yield full()
-                numbers, ats, pieces, held = [], [], [], 0
-        if numbers:
-            yield full()
-        if seen.hexdigest() != expected:
-            raise RuntimeError("the rows of this partition are not those that were counted")
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            for start, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = np.frombuffer(codec.decompress(packed.as_buffer(), decompressed_size=2 * n), dtype="<u2")
+                edges = np.unique(np.concatenate(([0], np.arange(-start % length, n, length), [n])))
+                at, size = start + edges[:-1], np.diff(edges)
+                pieces = [codec.compress(ids[a:b].tobytes(), asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                slots = permute(at // length, count, key)
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((at % length).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(pieces, pa.binary())], schema=target)
 
     return apply
 
@@ -128,6 +129,7 @@ def _store(out: str, length: int, per_shard: int, count: int, pad: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(out)
+        codec = pa.Codec("zstd")
         shard, data, filled = -1, None, 0
 
         def close() -> pa.RecordBatch:
@@ -140,22 +142,21 @@ def _store(out: str, length: int, per_shard: int, count: int, pad: int):
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "first_slot": pa.array([shard * per_shard], pa.int64()), "slots": pa.array([len(data)], pa.int64()), "tokens": pa.array([filled], pa.int64()), "bytes": pa.array([len(raw)], pa.int64()), "sha256": [hashlib.sha256(raw).hexdigest()]})
 
         for batch in batches:
-            for slot, at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for slot, at, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if slot // per_shard != shard:
                     if data is not None:
                         yield close()
                     shard, filled = slot // per_shard, 0
                     data = np.full((min(per_shard, count - shard * per_shard), length), pad, dtype="<u2")
-                piece = np.frombuffer(ids.as_buffer(), dtype="<u2")
-                data[slot - shard * per_shard, at : at + len(piece)] = piece
-                filled += len(piece)
+                data[slot - shard * per_shard, at : at + n] = np.frombuffer(codec.decompress(ids.as_buffer(), decompressed_size=2 * n), dtype="<u2")
+                filled += n
         if data is not None:
             yield close()
 
     return apply
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, length: int = 2048, per_shard: int = 2048, key: int = 1, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, length: int = 2048, per_shard: int = 2048, key: int = 1, pad: int = 0, text_col: str = "text") -> DataFrame:
     """Write ``docs`` as token shards below ``out`` and return their manifest.
 
     The texts' tokens, an end mark after each, are one stream in the order of the input's
@@ -163,26 +164,29 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, length:
     permute(s). Slot t is row t % per_shard of file shard-(t // per_shard): ``length`` ids of
     two little-endian bytes. So any slot is one seek, and a reader resumes at any slot.
 
-    Two passes: one counts tokens per partition (a row each to the driver: the partition list,
-    no data), one cuts and places. The second checks that each partition's rows are those
-    counted. Shards are written whole and renamed, so a lost executor leaves no half file.
+    Every text is tokenized once, into a table in the shared folder that fixes the stream's order;
+    counts per partition and the pieces of sequences are taken from it, so a task that runs
+    again finds the same tokens. Only the total comes to the driver. Shards are written whole and
+    renamed, so a lost executor leaves no half file.
 
     Manifest: ``shard, first_slot, slots, tokens, bytes, sha256``. The last sequence is filled up
-    with ``pad``. Null or empty texts give an end mark. Repeated rows and ids count each. An
-    empty table gives no shards. Other columns play no part.
+    with ``pad``. Null or empty texts give an end mark. Very long texts are stored in runs and cut
+    into sequences like any other. Repeated rows count each. An empty table gives no shards.
+    Other columns play no part.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    counts = {r["part"]: r for r in slim.mapInArrow(_count(tokenizer), "part int, tokens long, rows_sha256 string").collect()}
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = (total, counts[part]["rows_sha256"])
-        total += counts[part]["tokens"]
-    count = -(-total // length)
-    pieces = slim.mapInArrow(_pieces(tokenizer, starts, length, count, key), "slot long, at int, ids binary")
+    keep = Scratch(spark, "tokens")
+    runs = keep.save(docs.select(F.col(text_col).cast("string")).mapInArrow(_tokens(tokenizer), "part int, before long, n int, ids binary"), "runs")
+    parts = runs.groupBy("part").agg(F.sum("n").alias("_n"))  # a row per partition of the input
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keep.save(parts.select(F.col("part").alias("_part"), "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")), "starts")
+    count = -(-(starts.agg(F.sum("_n")).first()[0] or 0) // length)
+    placed = runs.join(maybe_broadcast(starts, STARTS_BYTES), F.col("part") == F.col("_part")).select(F.col("_start") + F.col("before"), "n", "ids")
+    pieces = placed.mapInArrow(_pieces(length, count, key), "slot long, at int, n int, ids binary")
     shards = max(1, -(-count // per_shard))
-    # slots are dense and evenly filled, so the ranges are known: no sampling pass over the texts
-    pieces = pieces.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
+    each = min(TASK_SHARDS, max(1, shards // (2 * spark.sparkContext.defaultParallelism)))
+    # slots are dense and evenly filled, so the ranges are known: no sampling pass over the tokens
+    pieces = pieces.repartitionById(-(-shards // each), F.floor(F.col("slot") / (per_shard * each)).cast("int")).sortWithinPartitions("slot", "at")
     pieces.mapInArrow(_store(out, length, per_shard, count, pad), "shard long, first_slot long, slots long, tokens long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{out}/_manifest")
     return spark.read.parquet(f"{out}/_manifest")
 
