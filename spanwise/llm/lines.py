@@ -108,8 +108,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` per document; ``removed``: places from 0, comma-joined.
 
-    Null text: no lines. Rows that share an id are one document. A null id sorts first and has
-    its row. Ties cannot occur, as places differ. An empty table gives an empty table.
+    Null text: no lines. Very long texts are split whole, very long lines compared whole. Rows
+    that share an id are one document. A null id sorts first and has its row. Ties cannot occur,
+    as places differ. An empty table gives an empty table; other columns play no part.
     """
     gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
     counts = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.sum(F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n")), F.lit(0))).cast("long").alias("n_lines"))
@@ -118,11 +119,35 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """``docs`` with repeated lines taken out of their texts; other columns stay."""
+    """``docs`` with repeated lines taken out of their texts; other columns stay, whatever they are called.
+
+    Null text stays null; a text all of whose lines go is left empty. Rows that share an id are
+    one document and lose the same places; a null id is a document too. Very long texts are
+    split whole. An empty table gives an empty table.
+    """
     gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line)), lambda x: x.isNotNull())
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left").withColumn(text_col, F.array_join(lines, "\n")).drop("_doc", "_gone")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    lines = F.filter(F.transform(F.split(F.col(f"_row.{text_col}").cast("string"), "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line)), lambda x: x.isNotNull())
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    return joined.select(*[F.array_join(lines, "\n").alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)
+
+
+#: No segments: all pairs of different lines of nearly equal length. The distance there counts bytes, so
+#: letters beyond ASCII, few in the tables, become one control character each.
+BEYOND = "äöüßéèêëàâçñáíóúÄÖÜÉÈÊÇÑÍÓÁÚ"
+ORACLE = rf"""
+WITH o AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents
+), t AS (SELECT * FROM o WHERE length(line) >= {LEAST_CHARS} OR regexp_matches(line, '[\p{{L}}\p{{N}}]')
+), f AS (SELECT line, min((doc_id, place)) AS first FROM t GROUP BY line
+), u AS (SELECT line, first, length(line) AS n, translate(line, '{BEYOND}', (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(1, {len(BEYOND) + 3}) r(i) WHERE i NOT IN (9, 10))) AS x FROM f WHERE length(line) >= {LEAST_CHARS}
+), g AS (SELECT x.line, min(y.first) AS first FROM u x JOIN u y ON y.n BETWEEN x.n - {EDITS} AND x.n + {EDITS} AND y.first < x.first AND levenshtein(x.x, y.x) <= {EDITS} GROUP BY x.line
+), k AS (SELECT f.line, least(f.first, coalesce(g.first, f.first)) AS least FROM f LEFT JOIN g USING (line)
+), z AS (SELECT doc_id, count(*) AS n, string_agg(place, ',' ORDER BY place) AS removed FROM t JOIN k USING (line) WHERE (doc_id, place) > least GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN z USING (doc_id)
+"""

@@ -17,7 +17,8 @@ from .sized import maybe_broadcast
 
 SLOTS = 252
 BLOCK = 1 << 21
-GROUP = 256
+#: A block's rows and shingles, on average.
+GROUP, GROUP_SHINGLES = 256, 1 << 21
 GONE_BYTES = 16 << 20
 EMPTY = np.uint64(tc.MASK)
 
@@ -220,18 +221,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     ``size``-word shingles. Documents with 100 * intersection >= percent * union are linked;
     a component is what links reach, named by its smallest id; that document is kept.
 
+    Null and empty texts: n_shingles 0, linked with nothing, kept. Very long texts are hashed in
+    pieces and compared whole. Rows that share an id are one document with several texts. A null
+    id: never linked, component null, kept. Ids that are not whole numbers get numbers for the
+    work and their least in place of a component's number. An empty table gives an empty table;
+    other columns play no part.
+    """
+    if _whole(docs, id_col):
+        return _classes(docs, percent, size, id_col, text_col).withColumnsRenamed({"id": "doc_id", "n": "n_shingles", "component": "component_id"})
+    keep = Scratch(docs.sparkSession, "minhash")
+    rows = docs.select(F.col(id_col).alias("_name"), F.col(text_col).cast("string").alias("_text"))
+    numbers = keep.save(rows.select("_name").where("_name is not null").distinct().withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    rows = rows.join(numbers.withColumnRenamed("_name", "_n"), F.col("_name") == F.col("_n"), "left").select("_name", "_text", "_number")
+    found = keep.save(_classes(rows, percent, size, "_number", "_text"), "classes")
+    least = found.join(numbers, F.col("id") == F.col("_number")).groupBy(F.col("component").alias("_c")).agg(F.min("_name").alias("component_id"))
+    out = found.join(numbers, F.col("id") == F.col("_number"), "left").join(least, F.col("component") == F.col("_c"), "left")
+    return out.select(F.col("_name").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("_name") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _whole(docs: DataFrame, id_col: str) -> bool:
+    return docs.select(id_col).schema[0].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def _classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, component, kept`` for every row; ids are whole numbers.
+
     1. One pass makes SuperMinHash signatures and set digests. Equal sets are one node.
     2. Nodes that share a band are compared with the band's smallest node on their full sets.
     3. In bands whose nodes are not all connected by then, nodes of different components are
-       compared by signature, in pairs of blocks of fixed size. What may reach the threshold
-       (estimate within four standard errors) is verified there on full sets, and only links
-       that join two components leave the block: as many rows as there are merges.
+       compared by signature, in pairs of blocks of bounded rows and bytes. What may reach the
+       threshold (estimate within six standard errors) is verified there on full sets, and only
+       links that join two components leave the block: as many rows as there are merges.
 
-    A pair at the threshold shares no band with probability under 5e-6; nothing is capped.
-
-    Null and empty texts: n_shingles 0, linked with nothing, kept. Rows that share an id are one
-    document with several texts. A null id: never linked, component null, kept. An empty table
-    gives an empty table.
+    A pair at the threshold shares no band with probability under 5e-6, and one that does is
+    passed over by its estimate with probability under 4e-7 (Chernoff); nothing is capped.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "minhash")
@@ -255,11 +278,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     wanted = keep.save(open_rows.select(F.col("id").alias("_id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(wanted, F.col("id") == F.col("_id"), "left_semi")
     open_rows = open_rows.join(nodes.select("id", "n", "sig"), "id").join(packed_sets(texts, "id", "_text", size), "id")
-    blocks = F.ceil(F.col("members") / GROUP)
+    weight = open_rows.groupBy(F.col("band").alias("_band")).agg(F.sum("n").alias("_weight"))
+    open_rows = open_rows.join(weight, F.col("band") == F.col("_band"))
+    blocks = F.greatest(F.ceil(F.col("members") / GROUP), F.ceil(F.col("_weight") / GROUP_SHINGLES))
     blocked = open_rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     blocked = blocked.select("band", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"), "block", "id", "comp", "n", "sig", "shingles")
     t = percent / 100
-    least = t - 4 * (t * (1 - t) / SLOTS) ** 0.5
+    least = t - 6 * (t * (1 - t) / SLOTS) ** 0.5
     more = keep.save(blocked.groupBy("band", "b1", "b2").applyInPandas(_bridges(least, percent), "a long, b long").distinct(), "bridges")
     if not more.isEmpty():
         edges = comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
@@ -268,15 +293,50 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     named = groups.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component"))
     out = sk.select("id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "n", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates that have a kept one; all columns stay."""
-    gone = near_duplicates(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(docs.sparkSession, "minhash").save(gone, "gone")
-    return docs.join(maybe_broadcast(gone, GONE_BYTES), F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group of near-duplicates, that of least id; all columns stay, whatever they are called.
+
+    Null and empty texts are in no group and stay. Where ids repeat, are null or are not whole
+    numbers, rows are first written with a number of their own: then every row is judged by its
+    text, equal rows included, ids only say which row of a group stays (a null id last). An empty
+    table gives an empty table.
+    """
+    keep = Scratch(docs.sparkSession, "minhash")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    if _whole(docs, id_col) and rows.groupBy("_id").count().where("count > 1 or _id is null").isEmpty():
+        gone = _classes(rows, percent, size, "_id", "_text").where("not kept").select(F.col("id").alias("_gone"))
+        number = "_id"
+    else:
+        rows, number = keep.save(rows.withColumn("_number", F.monotonically_increasing_id()), "rows"), "_number"
+        found = keep.save(_classes(rows, percent, size, "_number", "_text").where("n > 0"), "classes")
+        named = found.join(rows.select(F.col("_number").alias("_m"), "_id"), F.col("id") == F.col("_m"))
+        stays = named.groupBy(F.col("component").alias("_c")).agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("name"), F.col("id").alias("row"))).alias("_first"))
+        gone = found.join(stays, F.col("component") == F.col("_c")).where(F.col("id") != F.col("_first.row")).select(F.col("id").alias("_gone"))
+    gone = keep.save(gone, "gone")
+    return rows.join(maybe_broadcast(gone, GONE_BYTES), F.col(number) == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
+#: No sketches: every pair of documents with a common shingle, and what links reach; ``percent`` is 85.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (SELECT a, a AS b FROM sym UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a
+), m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON doc_id = a
+"""

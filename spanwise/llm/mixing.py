@@ -41,6 +41,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return ranked.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_rate") * F.col("_w"), F.col("_cap"))).cast("double").alias("target"))
 
 
+def _plan(slim: DataFrame, keep: Scratch, weights: tuple[int, ...], most: float, ties: list[str]) -> DataFrame:
+    """``doc_id, source, size, _key`` and ``ties`` -> what each row gives: ``epochs`` whole passes and ``rest`` words."""
+    slim = keep.save(slim, "sizes")
+    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    placed = running(slim, ["source"], F.col("_key"), ["doc_id", "size", *ties], "size", "_before", extra=goals)
+    goal = F.floor(F.col("target") + 1e-6)
+    return (
+        placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("epochs") * F.col("source_size") - F.col("_before"))).cast("long"))
+        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("rest")).cast("long"))
+    )
+
+
+def _sizes(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key")]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words the mix takes of every document.
 
@@ -51,39 +68,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     exactly.
 
     Returns ``doc_id, size, source, source_size, target, taken, epochs`` and ``rest`` (words of
-    the last, partial pass). Null or empty text: size 0, taken 0. A null source is a source of
-    its own, the last. Repeated rows count each; rows equal in id, source and size are
-    interchangeable. An empty table gives an empty table.
+    the last, partial pass). Null or empty text: size 0, taken 0. Very long texts count whole; the
+    cut may fall inside one. A null source is a source of its own, the last. Repeated rows count
+    each; rows equal in id, source and size are interchangeable. An empty table gives an empty
+    table.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"))
     keep = Scratch(docs.sparkSession, "mix")
-    slim = keep.save(slim, "sizes")
-    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    placed = running(slim, ["source"], F.col("_key"), ["doc_id", "size"], "size", "_before", extra=goals)
-    goal = F.floor(F.col("target") + 1e-6)
-    return (
-        placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("epochs") * F.col("source_size") - F.col("_before"))).cast("long"))
-        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("rest")).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "rest", F.col("_key").alias("key"))
-    )
+    slim = docs.select(*_sizes(docs, seed, id_col, text_col, source_col))
+    return _plan(slim, keep, weights, most, []).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "rest")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with the columns of ``docs``.
 
     A document taken in part is last in its source's order; its text is its first words, joined
-    by one space. Rows equal in id and text take equal shares. Documents without words leave.
+    by one space. Documents without words leave. A null source is a source of its own, a null id
+    an id like any other. Where several rows share id, text and source, all rows are first written
+    with a number of their own, and each of them takes its own share; a cut between rows
+    equal in every column falls at any of them.
     """
-    plan = mix(docs, weights, most, seed, id_col, text_col, source_col).where("taken > 0")
-    plan = plan.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "epochs", "rest", F.col("size").alias("_size"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"))
+    spark = docs.sparkSession
+    keep = Scratch(spark, "mix")
+    named = docs.select(F.struct("*").alias("_row"), *_sizes(docs, seed, id_col, text_col, source_col))
+    repeats = not named.groupBy("doc_id", "source", "_key").count().where("count > 1").isEmpty()
+    if repeats:
+        named = keep.save(named.withColumn("_other", F.xxhash64("_row")).withColumn("_m", F.monotonically_increasing_id()), "rows")
+    ties = ["_other", "_m"] if repeats else []
+    plan = _plan(named.select("doc_id", "source", "size", "_key", *ties), keep, weights, most, ties).where("taken > 0")
+    key = ["_m"] if repeats else ["doc_id", "source", "_key"]
+    plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in key], "epochs", "rest")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
     times = F.sequence(F.lit(1), (F.col("epochs") + (F.col("rest") > 0).cast("int")).cast("int"))
-    rows = packed.join(plan, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("_row", "epochs", "rest", "_size", F.explode(times).alias("_time"))
+    rows = named.join(plan, same).select("_row", "epochs", "rest", "size", F.explode(times).alias("_time"))
     words = F.array_remove(F.split(F.col(f"_row.{text_col}"), SPACE), "")
-    cut = F.when((F.col("_time") > F.col("epochs")) & (F.col("rest") < F.col("_size")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col(f"_row.{text_col}"))
+    cut = F.when((F.col("_time") > F.col("epochs")) & (F.col("rest") < F.col("size")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col(f"_row.{text_col}"))
     return rows.select(*[cut.alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -25,4 +25,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring.ORACLE,
     "op4_license_scan": licences.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_line_dedup": lines.ORACLE,
+    "op10_minhash_near_dedup": minhash.ORACLE,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,15 +19,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
-#: A name, an assignment sign and a quoted literal of any length, a bare literal or another name.
-#: No class holds its closing quote and the repeats are possessive, so matching stays linear.
-PAIR = re.compile(r"""(?a)(?P<name>[A-Za-z_][\w.-]{0,80})["']?\]?[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,8}(?:"(?P<dq>(?:[^"\\\n]++|\\.)++)"|'(?P<sq>(?:[^'\\\n]++|\\.)++)'|`(?P<bq>[^`\n]++)`|(?P<bare>[A-Za-z0-9+/_.=~$-]++))""")
+#: The last part of a name, what may close it, and an assignment sign. No name is begun inside another.
+TARGET = re.compile(r"""(?a)(?<![A-Za-z0-9_])(?P<name>[A-Za-z_]\w*+)["'`]?[\x20\t]*+\]?[\x20\t]*+(?P<sign>:=|=>|=(?![=>])|:(?![:/]))""")
+ELEMENT = re.compile(r"""(?a)<(?P<name>[A-Za-z_][\w.-]*+)(?:[\x20\t][^<>]*+)?>(?=[^<\s])""")
+TYPED = re.compile(r"""(?a)[\x20\t]*+[A-Za-z_][\w.\[\]|]*+[\x20\t]*+=(?![=>])""")
+OPENING = re.compile(r"""(?ai)[rbuf]{1,2}(?=["'])|[\x20\t]++|@(?=["'])|\(\s*+""")
+PLUS = re.compile(r"""[\x20\t]*+(?:\+|\.(?=[\x20\t])|\\\n)\s*+""")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>|&]++""")
+BLOCK = re.compile(r"""[|>][+-]?[\x20\t]*+\n(?P<pad>[\x20\t]++)""")
+FOLD = re.compile(r"""\n[\x20\t]*+""")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY-----")
+CLOSING = {'"': re.compile(r"""(?:[^"\\\n]|\\.)*+\""""), "'": re.compile(r"""(?:[^'\\\n]|\\.)*+'"""), "`": re.compile(r"""[^`]*+`""")}
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of name parts; pairs count together ("api key"), and a name is sensitive from 2 on.
 STRONG = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "credential": 3, "credentials": 3, "apikey": 3, "bearer": 2, "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "client": 1, "encryption": 1, "signing": 1}
 #: First and last line of a PEM key; their spaces are not the key's.
 ARMOUR = re.compile(r"-----(?:BEGIN|END)[A-Z0-9\x20]+-----")
-PLAIN = re.compile(r"(?ai)^(?:true|false|none|null|nil|undefined|changeme|example|sample|test|xxx+|your[-_ ].*|\*+|<.*>|\$\{.*\}|\{\{.*\}\})$")
+PLAIN = re.compile(r"(?ai)^(?:true|false|none|null|nil|undefined|changeme|example|sample|test|xxx+|your[-_ ].*|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|[a-z][a-z0-9+.-]*://[^@]*)$")
 
 
 def sensitivity(name: str) -> int:
@@ -62,31 +71,165 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+class _Lexer:
+    """Reads the value at a place of a text as pieces: literals with their places, and names.
+
+    Where a quote does not end on its line, no later quote of its kind on that line does either, so
+    each line is searched once for each kind and reading stays linear.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.dead = text, {}
+
+    def quoted(self, at: int) -> tuple[int, int, int] | None:
+        """Start, end and what follows of a string that opens at ``at``."""
+        text, mark = self.text, self.text[at]
+        triple = mark * 3
+        if mark != "`" and text.startswith(triple, at):
+            if at >= self.dead.get(triple, 0):
+                end = text.find(triple, at + 3)
+                if end >= 0:
+                    return at + 3, end, end + 3
+                self.dead[triple] = len(text)
+            return None
+        if at < self.dead.get(mark, 0):
+            return None
+        found = CLOSING[mark].match(text, at + 1)
+        if found:
+            return at + 1, found.end() - 1, found.end()
+        line = text.find("\n", at) if mark != "`" else -1
+        self.dead[mark] = line if line >= 0 else len(text)
+        return None
+
+    def armoured(self, at: int) -> int:
+        """Where a PEM block that opens at ``at`` ends, or -1."""
+        if at < self.dead.get("-----", 0):
+            return -1
+        end = self.text.find("-----END ", at)
+        end = self.text.find("-----", end + 9) if end >= 0 else -1
+        if end < 0:
+            self.dead["-----"] = len(self.text)
+            return -1
+        return end + 5
+
+    def folded(self, m: re.Match, name_at: int) -> int | None:
+        """End of a YAML block whose lines are deeper than the name's line."""
+        text, pad = self.text, m["pad"]
+        if len(pad) <= len(text[text.rfind("\n", 0, name_at) + 1 : name_at]):
+            return None
+        end = m.end()
+        while (line := text.find("\n", end)) >= 0 and text.startswith(pad, line + 1):
+            end = line + 1 + len(pad)
+        return line if line >= 0 else len(text)
+
+    def value(self, at: int, name_at: int) -> tuple[list[tuple[str, int, int]], int]:
+        """Pieces of the value at ``at`` and where it ends."""
+        text, pieces, bracket = self.text, [], False
+        while True:
+            while m := OPENING.match(text, at):
+                at, bracket = m.end(), bracket or "(" in m[0]
+            if m := BLOCK.match(text, at):
+                if not text.startswith("-----BEGIN ", m.end()) and (end := self.folded(m, name_at)):
+                    return [("text", m.end(), end)], end
+                at = m.end()
+            if text.startswith("-----BEGIN ", at):
+                if (end := self.armoured(at)) >= 0:
+                    pieces.append(("text", at, end))
+                return pieces, max(at, end)
+            quote = text[at : at + 1]
+            if quote and quote in CLOSING:
+                found = self.quoted(at)
+                if not found:
+                    return pieces, at + 1
+                pieces.append(("text", *found[:2]))
+                at = found[2]
+            elif m := BARE.match(text, at):
+                if text.startswith(("(", "["), m.end()):  # a call or a lookup
+                    return pieces, m.end()
+                pieces.append(("bare", at, at + len(m[0].rstrip(".:!?"))))
+                at = m.end()
+            else:
+                return pieces, at
+            if m := PLUS.match(text, at):
+                at = m.end()
+            elif quote in CLOSING:  # strings side by side are one; in brackets on further lines too
+                near = at
+                while text[near : near + 1] and text[near] in (" \t\r\n" if bracket else " \t"):
+                    near += 1
+                if text[near : near + 1] not in ('"', "'"):
+                    return pieces, at
+                at = near
+            else:
+                return pieces, at
+
+
+def _assignments(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Name-value pairs of source, settings, JSON, YAML and XML, in order, and key blocks without a name."""
+    lexer, pairs, label = _Lexer(text), [], None
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            end = text.find("<", m.end())
+            pairs.append((m.start(), m["name"], [("text", m.end(), end if end >= 0 else len(text))]))
+    for m in KEY_BLOCK.finditer(text):
+        if (end := lexer.armoured(m.start())) >= 0:
+            pairs.append((m.start(), "private_key", [("text", m.start(), end)]))
+    read = {"=": 0, ":": 0}
+    for m in TARGET.finditer(text):
+        start, at = m.start("name"), m.end()
+        mark = ":" if m["sign"] == ":" else "="
+        if start < read[mark]:  # inside a bare value after the same sign: part of it
+            continue
+        while start and (text[start - 1] in "_.-" or text[start - 1].isascii() and text[start - 1].isalnum()):
+            start -= 1
+        name = text[start : m.end("name")].lstrip(".-")
+        if m["sign"] == ":" and (typed := TYPED.match(text, at)):
+            at = typed.end()
+        pieces, end = lexer.value(at, start)
+        if pieces and pieces[-1][0] == "bare":
+            read[mark] = end
+        if label and name.lower() == "value" and not set(text[label[1] : start]) & set("<>{}"):
+            name = label[0]
+        single = len(pieces) == 1 and pieces[0][0] == "text"
+        label = (text[pieces[0][1] : pieces[0][2]], end) if single and name.lower() in ("name", "key") else None
+        pairs.append((m.start(), name, pieces))
+    return [(name, pieces) for _, name, pieces in sorted(pairs, key=lambda p: p[0])]
+
+
 def lexed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Literals of sensitive names, and constants that reach a sensitive name through other names.
 
-    Source and configuration are read as name-literal pairs. A bare value that is itself a name
-    defined earlier passes that literal on; the literal's own place is reported once.
+    A bare value that is the name of another pair stands for that pair's value, whether it comes
+    before (the nearest) or after (the first). Sensitivity runs along such names until nothing changes. The
+    pieces of a joined literal are judged together and each told by its place.
     """
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    literals: dict[str, tuple[int, int, str]] = {}
+    pairs = _assignments(text)
+    where: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        where.setdefault(name, []).append(i)
+    scores = [sensitivity(name) for name, _ in pairs]
+    reached, todo = {}, [(s, i, False) for i, s in enumerate(scores) if s >= 2]
     found: dict[tuple[int, int], str] = {}
-    for m in PAIR.finditer(text):
-        name, kind = m["name"], m.lastgroup
-        value, place = m[kind], m.span(kind)
-        score = sensitivity(name)
-        known = literals.get(value) if kind == "bare" else None
-        if known is None:
-            literals[name] = (*place, value)
-            if score >= 2 and looks_secret(value, score):
-                found.setdefault(place, "literal")
-        else:
-            literals[name] = known
-            if score >= 2 and looks_secret(known[2], score):
-                found.setdefault(known[:2], "constant")
-    return [(s, e, k) for (s, e), k in found.items() if not any(b <= s and e <= f for b, f, _ in base)]
+    todo.sort()
+    while todo:  # the strongest first; a pair is looked at again only for a stronger name
+        score, i, passed = todo.pop()
+        if reached.get(i, 0) >= score:
+            continue
+        reached[i] = score
+        own = []
+        for kind, s, e in pairs[i][1]:
+            at = where.get(text[s:e]) if kind == "bare" else None
+            if at and at != [i]:
+                k = bisect_left(at, i)
+                todo.append((score, at[k - 1] if k else next(j for j in at[:2] if j != i), True))
+            else:
+                own.append((s, e))
+        if own and looks_secret(FOLD.sub("", "".join(text[s:e] for s, e in own)), score):
+            for place in own:
+                found.setdefault(place, "constant" if passed else "literal")
+    return [(s, e, k) for (s, e), k in found.items() if s < e and not any(b <= s and e <= f for b, f, _ in base)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -115,7 +258,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ``constant`` (a value defined under another name), never wholly inside one base span; one that reaches
     beyond it is there beside it.
 
-    Null text: empty. Null or repeated ids keep a row each. An empty table gives an empty
+    Literals have no length bound, may hold escapes, span lines in triple quotes, YAML blocks and
+    PEM keys, and be joined of parts; names come from source, settings, JSON, YAML and XML.
+    Constants are followed both ways.
+
+    Null text: empty. Very long texts are read whole in linear time. Null or repeated ids keep a row each. An empty table gives an empty
     table; other columns play no part.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
@@ -123,7 +270,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; other columns stay."""
+    """``docs`` with every span replaced by ``mark``; other columns stay, whatever they are called.
+
+    Spans that overlap become one mark; nothing of a found literal is left, however long. Null
+    texts stay null, empty ones empty. An empty table gives an empty table.
+    """
 
     def clean(text: str | None) -> str | None:
         if text is None:

@@ -12,12 +12,14 @@ from .scratch import Scratch
 KEY = 20240229
 
 
-def row_numbers(rows: DataFrame, id_col: str, ties: list[str]) -> DataFrame:
-    """Add ``row``, from 0: the rank of a row by a hash of its id, then by ``ties``.
+def row_numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``row``, from 0: the rank of a row by a hash of ``columns``, then by their values.
 
-    The rank depends on the rows alone, not on files or partitions.
+    The rank depends on the rows alone, not on files or partitions. All the columns are hashed,
+    so rows that share an id, or have none, are dealt by the rest.
     """
-    return running(rows.withColumn("_1", F.lit(1).cast("long")), [], F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), [id_col, *ties], "_1", "row").drop("_1")
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return running(rows.withColumn("_1", F.lit(1).cast("long")), [], key, columns, "_1", "row").drop("_1")
 
 
 def shard(docs: DataFrame, shards: int = 24, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +31,7 @@ def shard(docs: DataFrame, shards: int = 24, key: int = KEY, id_col: str = "doc_
     ``p // shards``, so both follow from r, the row count and the key alone. The law is
     ``rows``: counts per shard differ by one at most, slots run from 0 without gaps.
 
-    Null text: size 8, crc32 of no bytes (0). Null or repeated ids keep a row each; rows equal
+    Null text: size 8, crc32 of no bytes (0). Very long texts are rows like any other. Null or repeated ids keep a row each; rows equal
     in id, size and crc are interchangeable. An empty table gives an empty table. Other
     columns of the input play no part.
     """
@@ -39,7 +41,7 @@ def shard(docs: DataFrame, shards: int = 24, key: int = KEY, id_col: str = "doc_
     slim = keep.save(slim, "rows")
     n = slim.count()
     return (
-        row_numbers(slim, "doc_id", ["size", "text_crc32"])
+        row_numbers(slim, ["doc_id", "size", "text_crc32"])
         .withColumn("position", permuted(F.col("row"), n, key))
         .select(
             "doc_id", "size", "text_crc32",

@@ -164,13 +164,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     3. Windows whose hash is seen once are set aside; the words of all others go.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (+ ``kept_text``). Texts with fewer than
-    ``window`` words lose nothing. Null text: no words. Repeated rows are repeats of each
-    other; repeated or null ids keep a row each. An empty table gives an empty table.
+    ``window`` words lose nothing; very long texts are worked on in pieces of words and whole as
+    strings. Null text: no words. Repeated rows are repeats of each other; repeated or null ids,
+    and ids that are not whole numbers, keep a row each. An empty table gives an empty table;
+    other columns play no part.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    unique = slim.groupBy("_doc").count().where("count > 1 or _doc is null").isEmpty()
+    slim = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    unique = slim.schema[0].dataType.typeName() in ("byte", "short", "integer", "long") and slim.groupBy("_doc").count().where("count > 1 or _doc is null").isEmpty()
     if unique:
-        base = slim.select(F.col("_doc").alias("id"), "text")
+        base = slim.select(F.col("_doc").cast("long").alias("id"), "text")
     else:  # rows need names of their own, fixed by writing them
         slim = Scratch(docs.sparkSession, "substring").save(slim.withColumn("id", F.monotonically_increasing_id()), "rows")
         base = slim.select("id", "text")
@@ -183,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     second = first.join(alone(windows, ["h1", "h2"], "lone_windows"), "id", "left").select("id", "size", "packed", "lone_anchors", F.coalesce("lone_windows", some).alias("lone_windows"))
     out = second.mapInArrow(_removed(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     if unique:
-        return out.withColumnRenamed("id", "doc_id")
+        return out.withColumn("id", F.col("id").cast(slim.schema[0].dataType)).withColumnRenamed("id", "doc_id")
     return out.join(slim.select("id", F.col("_doc").alias("doc_id")), "id").select("doc_id", *out.columns[1:])
 
 
