@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``docs``. ``run`` writes every stage as Parquet in the shared folder and reads it
 again, so no stage recomputes an earlier one and a lost executor costs one stage's tasks.
+
+Every stage takes extra columns of any name, very long texts whole, and an empty table, which
+gives an empty one. Rows are judged one by one: ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -15,27 +18,39 @@ from spanwise.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the threshold table."""
+    """Documents that pass the threshold table. A null or empty text has no words and fails; equal rows pass or fail together."""
     return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near-duplicates (five words, 0.8)."""
+    """One document, the one of least id, of each group of near-duplicates (five words, 0.8).
+
+    Equal rows are a group and one stays. A null id is the last of its group. Null and empty texts are
+    in no group and stay.
+    """
     return minhash.deduplicated(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Equal texts are judged alike, whatever their ids; null and empty texts stay. An empty benchmark or
+    null items take nothing out.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights; documents of small sources repeat."""
+    """Sources brought to their target weights; documents of small sources repeat.
+
+    A null source is one of its own, the last. Texts without words leave. Ties of the hash order
+    are broken by id, size and the rest of the row.
+    """
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix; equal rows, which repeat here, take a slot each."""
     return sharding.shard(docs)
 
 
