@@ -229,7 +229,16 @@ def lexed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if own and looks_secret(FOLD.sub("", "".join(text[s:e] for s, e in own)), score):
             for place in own:
                 found.setdefault(place, "constant" if passed else "literal")
-    return [(s, e, k) for (s, e), k in found.items() if s < e and not any(b <= s and e <= f for b, f, _ in base)]
+    out, reach, inside, of_base = [], 0, 0, iter([*sorted(base), (len(text) + 1, 0, "")])
+    start, end, _ = next(of_base)
+    for (s, e), k in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
+        while start <= s:
+            inside = max(inside, end)
+            start, end, _ = next(of_base)
+        if s < e and e > max(reach, inside):  # inside no other literal and no base span
+            out.append((s, e, k))
+            reach = e
+    return out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
