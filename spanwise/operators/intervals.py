@@ -86,3 +86,20 @@ def intersections(a: DataFrame, b: DataFrame, by: list[str], bucket: int = BUCKE
 def coverage(df: DataFrame, by: list[str]) -> DataFrame:
     """``n_intervals, covered`` per group; ends are inclusive."""
     return df.groupBy(*by).agg(F.count("*").alias("n_intervals"), F.sum(F.col("e") - F.col("s") + 1).alias("covered"))
+
+
+def next_at(points: DataFrame, marks: DataFrame, by: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Add ``next``: the least mark ``t`` at or after each point's ``t``, or null. An as-of join by buckets.
+
+    Inside a bucket, points and marks are one ordered stream; where a bucket has no later mark, the
+    first mark of a later bucket counts, found on a table of one row per bucket.
+    """
+    names = [c for c in points.columns if c not in (*by, "t")]
+    left = points.select(*by, "t", F.lit(None).cast("long").alias("_m"), F.struct(*[F.col(c) for c in names], F.lit(True).alias("_p")).alias("_row"))
+    empty = F.lit(None).cast(left.schema["_row"].dataType)
+    stream = left.unionByName(marks.select(*by, "t", F.col("t").cast("long").alias("_m"), empty.alias("_row"))).withColumn("_b", F.floor(F.col("t") / bucket))
+    inside = Window.partitionBy(*by, "_b").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = stream.groupBy(*by, "_b").agg(F.min("_m").alias("_f")).select(*by, "_b", F.min("_f").over(later).alias("_later"))
+    found = stream.withColumn("_own", F.min("_m").over(inside)).where("_row is not null").join(buckets, [*by, "_b"])
+    return found.select(*by, "t", *[F.col(f"_row.{c}").alias(c) for c in names], F.coalesce("_own", "_later").alias("next"))

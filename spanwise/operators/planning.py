@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+from .numbering import numbered
+
 SEGMENT_MS, CONFIRM_MS = 300_000, 1_800_000
 
 
@@ -19,9 +22,23 @@ def segment_plan(videos: DataFrame, snap, forced_ms: int = 0) -> DataFrame:
     count = F.ceil(F.col("duration_ms") / size).cast("int")
     inner = F.filter(F.sequence(F.lit(0), count), lambda i: (i >= 1) & (i < count))
     cut = F.transform(inner, lambda i: F.greatest(F.lit(0), F.least(F.col("duration_ms"), snap(i.cast("long") * size))))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), cut, F.array(F.col("duration_ms")))))
-    pairs = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, i: F.struct(i.alias("idx"), c.alias("start_ms"), F.get(cuts, i + 1).alias("end_ms")))
-    return fit.select("video_id", F.explode(pairs).alias("p")).select("video_id", "p.*")
+    cuts = fit.select("video_id", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), cut, F.array(F.col("duration_ms"))))).alias("_c"))
+    n = F.size("_c") - 1
+    pairs = F.arrays_zip(F.slice("_c", F.lit(1), n).alias("start_ms"), F.slice("_c", F.lit(2), n).alias("end_ms"))
+    return cuts.select("video_id", F.posexplode(pairs).alias("idx", "p")).select("video_id", "idx", "p.*")
+
+
+def snapped_plan(videos: DataFrame, keyframes: DataFrame, size: int = SEGMENT_MS) -> DataFrame:
+    """The plan with nominal cuts moved to the next keyframe ``video_id, t``; to the end where there is none."""
+    fit = videos.where((F.col("duration_ms") > size) & (F.col("duration_ms") >= CONFIRM_MS)).select("video_id", "duration_ms")
+    nominal = fit.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / size).cast("int") - 1)))).where(F.col("_i") * size < F.col("duration_ms"))
+    snapped = intervals.next_at(nominal.select("video_id", "duration_ms", (F.col("_i") * size).cast("long").alias("t")), keyframes, ["video_id"])
+    inner = snapped.select("video_id", F.least("duration_ms", F.coalesce("next", "duration_ms")).alias("start_ms"))
+    edges = fit.select("video_id", F.explode(F.array(F.lit(0).cast("long"), F.col("duration_ms"))).alias("start_ms"))
+    cuts = inner.unionByName(edges).distinct()
+    order = Window.partitionBy("video_id").orderBy("start_ms")  # the cuts of one video: its minutes / 5
+    out = cuts.select("video_id", (F.row_number().over(order) - 1).alias("idx"), "start_ms", F.lead("start_ms").over(order).alias("end_ms"))
+    return out.where("end_ms is not null")
 
 
 def pending(plan: DataFrame, done: DataFrame) -> DataFrame:
@@ -46,7 +63,6 @@ def slot_samples(frames: DataFrame, step: int, window_ms: int = SEGMENT_MS) -> D
     return grouped.select("video_id", F.explode(F.aggregate("_f", start, move, lambda s: s["out"])).alias("pts_ms"))
 
 
-def strided(frames: DataFrame, every: int, by: str = "video_id") -> DataFrame:
+def strided(frames: DataFrame, every: int, by: str = "video_id", bucket: int = 10_000) -> DataFrame:
     """Every n-th frame in time order."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy("pts_ms", "event_id"))
-    return frames.withColumn("_n", n).where((F.col("_n") - 1) % every == 0).drop("_n")
+    return numbered(frames, [by], F.floor(F.col("pts_ms") / bucket), ["pts_ms", "event_id"], "_n").where(F.col("_n") % every == 0).drop("_n")

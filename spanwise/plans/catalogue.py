@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import scalar as S
 from spanwise.operators import audio, gate, intervals, planning, tracks
+from spanwise.operators.numbering import changes, numbered
 from spanwise.sources import fixtures as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,10 +121,9 @@ def _bridged(events):
     return intervals.merge(events.select("video_id", F.col("pts_ms").alias("s"), (F.col("pts_ms") + F.col("k")).alias("e")), 400, ["video_id"])
 
 
-@query(f"WITH {EV}, x AS (SELECT video_id, pts_ms AS s, pts_ms + k AS e FROM ev WHERE event_id % 7 = 0), {_merged('x', 400, 'm')} SELECT * FROM m")
+@query(f"WITH {EV}, x AS (SELECT video_id, pts_ms AS s, pts_ms + k AS e FROM ev), {_merged('x', 400, 'm')} SELECT * FROM m")
 def interval_bridge_merge(spark, d):
-    """A seventh of the events; ``interval_bridge_merge_all`` takes them all."""
-    return _bridged(src.events(spark, d).where("event_id % 7 = 0"))
+    return _bridged(src.events(spark, d))
 
 
 @query(ORACLES["interval_bridge_merge"].replace(" WHERE event_id % 7 = 0", ""))
@@ -244,13 +244,12 @@ def frame_stride(spark, d):
     return planning.strided(src.events(spark, d), 2).select("video_id", "event_id", "pts_ms")
 
 
-@query(f"""WITH RECURSIVE {EV}, fr AS (SELECT DISTINCT video_id, pts_ms, pts_ms // 300000 AS w FROM ev WHERE pts_ms % 3 <> 1), o AS (SELECT *, row_number() OVER (PARTITION BY video_id, w ORDER BY pts_ms) AS n FROM fr),
+@query(f"""WITH RECURSIVE {EV}, fr AS (SELECT DISTINCT video_id, pts_ms, pts_ms // 300000 AS w FROM ev), o AS (SELECT *, row_number() OVER (PARTITION BY video_id, w ORDER BY pts_ms) AS n FROM fr),
  f AS (SELECT video_id, w, 0::BIGINT AS n, NULL::BIGINT AS pts_ms, w * 300000 AS slot, false AS hit FROM (SELECT DISTINCT video_id, w FROM o) UNION ALL
   SELECT o.video_id, o.w, o.n, o.pts_ms, CASE WHEN o.pts_ms < f.slot THEN f.slot WHEN f.slot + 700 <= o.pts_ms THEN o.pts_ms + 700 ELSE f.slot + 700 END, o.pts_ms >= f.slot FROM f JOIN o ON o.video_id = f.video_id AND o.w = f.w AND o.n = f.n + 1)
  SELECT video_id, pts_ms FROM f WHERE hit""")
 def slot_sampler(spark, d):
-    """Two thirds of the frames; ``slot_sampler_all`` takes them all."""
-    return planning.slot_samples(src.events(spark, d).where("pts_ms % 3 <> 1").select("video_id", "pts_ms").distinct(), 700)
+    return planning.slot_samples(src.events(spark, d).select("video_id", "pts_ms").distinct(), 700)
 
 
 @query(ORACLES["slot_sampler"].replace(" WHERE pts_ms % 3 <> 1", ""))
@@ -282,7 +281,8 @@ def segment_resume(spark, d):
 def mux_interleave(spark, d):
     ev = src.events(spark, d).select("video_id", "pts_ms", "event_id")
     video, sound = ev.where("event_id % 3 <> 0").withColumn("is_audio", F.lit(0)), ev.where("event_id % 3 = 0").withColumn("is_audio", F.lit(1))
-    return video.unionByName(sound).withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("pts_ms", "is_audio", "event_id")).cast("long"))
+    both = numbered(video.unionByName(sound), ["video_id"], F.floor(F.col("pts_ms") / 10_000), ["pts_ms", "is_audio", "event_id"], "place")
+    return both.withColumn("place", F.col("place") + 1)
 
 
 @query(f"WITH {EV}, p AS (SELECT event_id, video_id, pts_ms // 60000 AS part, pts_ms % 60000 AS local FROM ev), o AS (SELECT DISTINCT part, part * 60000 + 41 AS start_ms FROM p) SELECT event_id, video_id, (local + start_ms) * 1000 AS pts_us FROM p JOIN o USING (part)")
@@ -296,8 +296,10 @@ def concat_offsets(spark, d):
 
 
 def _pcm(spark, d):
-    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return src.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("i"), ((F.col("l_quantity") - 25) / 25).alias("l"), ((F.col("l_tax") * 100 - 4) / 4 + 0.0).alias("r"))
+    """``track_id, i, l, r``: one sample per line item, numbered per track by buckets of orders."""
+    rows = src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_returnflag").alias("track_id"), ((F.col("l_quantity") - 25) / 25).alias("l"), ((F.col("l_tax") * 100 - 4) / 4 + 0.0).alias("r"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return numbered(rows, ["track_id"], F.floor(F.col("l_orderkey") / 4096), order, "i").select("track_id", "i", "l", "r")
 
 
 @query("SELECT l_returnflag AS track_id, count(*) AS frames, round(avg((l_quantity - 25) / 25), 9) AS mean, round(stddev_samp((l_quantity - 25) / 25), 9) AS std FROM lineitem GROUP BY 1")
@@ -317,20 +319,20 @@ def stratified_stats(spark, d):
     return audio.stats(picked, ["track_id"], "l").select("track_id", "frames", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-def _grid(jobs):
-    return audio.chunk_grid(jobs.select(F.col("id").alias("track_id"), F.floor(F.col("duration_ms") * 441 / 10).alias("frames"))).withColumn("chunk", F.col("chunk").cast("long"))
+def _grid(jobs, frames):
+    return audio.chunk_grid(jobs.select(F.col("id").alias("track_id"), frames.alias("frames"))).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query(f"WITH {JOBS}, t AS (SELECT id AS track_id, duration_ms * 441 // 10 AS f FROM jobs WHERE id % 50 = 1), c AS (SELECT track_id, f, unnest(range(0, CAST(ceil((f + 22050) / 103194e0) AS BIGINT))) AS chunk FROM t WHERE f > 0) SELECT track_id, chunk, chunk * 103194 - 22050 AS off, least(chunk * 103194 - 22050 + 114660, f) - greatest(chunk * 103194 - 22050, 0) AS n FROM c")
+@query(f"WITH {JOBS}, t AS (SELECT id AS track_id, duration_ms AS f FROM jobs), c AS (SELECT track_id, f, unnest(range(0, CAST(ceil((f + 22050) / 103194e0) AS BIGINT))) AS chunk FROM t WHERE f > 0) SELECT track_id, chunk, chunk * 103194 - 22050 AS off, least(chunk * 103194 - 22050 + 114660, f) - greatest(chunk * 103194 - 22050, 0) AS n FROM c")
 def chunk_grid(spark, d):
-    """A fiftieth of the jobs; ``chunk_grid_all`` takes them all."""
-    return _grid(src.jobs(spark, d).where("id % 50 = 1"))
+    """The grid of a sound of as many frames as the job has milliseconds; ``chunk_grid_all`` has the whole length."""
+    return _grid(src.jobs(spark, d), F.col("duration_ms"))
 
 
 @query()
 def chunk_grid_all(spark, d):
     """Over a thousand rows a job, so no SQL is registered; a test compares with brute force."""
-    return _grid(src.jobs(spark, d))
+    return _grid(src.jobs(spark, d), F.floor(F.col("duration_ms") * 441 / 10))
 
 
 @query(f"WITH {PCM}, c AS (SELECT track_id, i, l, unnest([i // 36 - 1, i // 36]) AS ch FROM pcm), x AS (SELECT track_id, i AS pos, i - ch * 36 AS j, l * (1 + ch % 3) AS v FROM c WHERE ch >= 0 AND i - ch * 36 < 40) SELECT track_id, pos, round(sum(least(j + 1, 40 - j) / 20e0 * v) / sum(least(j + 1, 40 - j) / 20e0), 9) AS x FROM x GROUP BY 1, 2")
@@ -342,8 +344,8 @@ def overlap_add(spark, d):
 
 
 def _music(spark, d):
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("pts_ms", "event_id")) - 1
-    return src.events(spark, d).select("video_id", n.cast("long").alias("chunk"), (F.col("value") / 500).cast("float").alias("score"))
+    ev = numbered(src.events(spark, d), ["video_id"], F.floor(F.col("pts_ms") / 10_000), ["pts_ms", "event_id"], "chunk")
+    return ev.select("video_id", "chunk", (F.col("value") / 500).cast("float").alias("score"))
 
 
 _DILATED = f"WITH {MUSIC}, dl AS (SELECT a.video_id, a.chunk, max(CASE WHEN abs(b.chunk - a.chunk) <= 1 THEN b.score END) >= 0.15::FLOAT OR (any_value(a.score) >= 0.02::FLOAT AND max(b.score) >= 0.15::FLOAT) AS separate FROM music a JOIN music b ON a.video_id = b.video_id AND b.chunk BETWEEN a.chunk - 2 AND a.chunk + 2 GROUP BY 1, 2)"
@@ -463,11 +465,13 @@ def bitrate_tier(spark, d):
     return src.table(spark, d, "part").select("p_partkey", S.bitrate(F.col("p_size") * 100000, source).alias("bitrate"))
 
 
-@query(f"WITH {EV} SELECT user_id, max(pts_ms) AS newest, sum(k)::BIGINT AS freed FROM ev GROUP BY user_id HAVING max(pts_ms) < (SELECT max(pts_ms) FROM ev) - 604800")
+@query(f"WITH {EV} SELECT user_id, pts_ms // 86400 AS day, max(pts_ms) AS newest, sum(k)::BIGINT AS freed FROM ev GROUP BY 1, 2 HAVING max(pts_ms) < (SELECT max(pts_ms) FROM ev) - 604800")
 def stale_dirs(spark, d):
+    """Folders, one per user and day, whose newest file is a week older than the newest of all."""
     ev = src.events(spark, d)
-    age = ev.groupBy("user_id").agg(F.max("pts_ms").alias("newest"), F.sum("k").alias("freed"))
-    return age.crossJoin(F.broadcast(ev.agg(F.max("pts_ms").alias("_now")))).where(F.col("newest") < F.col("_now") - 604800).drop("_now")
+    age = ev.groupBy("user_id", F.floor(F.col("pts_ms") / 86400).alias("day")).agg(F.max("pts_ms").alias("newest"), F.sum("k").alias("freed"))
+    now = ev.agg(F.max("pts_ms").alias("_now"))  # one row
+    return age.crossJoin(F.broadcast(now)).where(F.col("newest") < F.col("_now") - 604800).drop("_now")
 
 
 @query(f"WITH {TRACK} SELECT video_id, track_key, start_ms AS s, end_ms AS e FROM span")
@@ -484,7 +488,7 @@ def progress_changes(spark, d):
     pcm = _pcm(spark, d)
     pct = F.floor(100 * F.col("i") / F.col("n"))
     rows = pcm.join(pcm.groupBy("track_id").agg(F.count("*").alias("n")), "track_id").select("track_id", "i", pct.alias("pct"))
-    return rows.groupBy("track_id", "pct").agg(F.min("i").alias("i"))  # a percentage never returns, so its first row is the change
+    return changes(rows, ["track_id"], F.floor(F.col("i") / 16_384), ["i"], "pct")
 
 
 @query(f"WITH {EV}, g AS (SELECT video_id, event_id % 9 AS run, median(value) AS m FROM ev GROUP BY 1, 2) SELECT video_id, round(min(m), 6) AS best_median FROM g GROUP BY 1")
@@ -552,14 +556,13 @@ def stream_hysteresis(spark, d):
     return _streamed(spark, gate.firings(src.gate_scores(spark, d), 100).select("video_id", F.timestamp_millis("pts_ms").alias("ts")), twins.hysteresis)
 
 
-def _streamed(spark, rows, form):
+def _streamed(spark, rows, form, mode="complete"):
     """``rows`` written in the shared folder, read as a stream and run through ``form`` to its end."""
-    import tempfile
     import uuid
 
+    from spanwise.session import shared_folder
     from spanwise.streaming import twins
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanwise-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
-    return twins.settle(form(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), base, "complete")
+    return twins.settle(form(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), base, mode)

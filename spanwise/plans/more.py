@@ -106,10 +106,9 @@ def _floored(music):
     return music.select("video_id", "chunk", F.when(F.col("score") < F.lit(0.001).cast("float"), F.lit(0).cast("float")).otherwise(F.col("score")).alias("floored"))
 
 
-@query(f"WITH {MUSIC} SELECT video_id, chunk, CASE WHEN score < 0.001::FLOAT THEN 0::FLOAT ELSE score END AS floored FROM music WHERE chunk % 3 = 0")
+@query(f"WITH {MUSIC} SELECT video_id, chunk, CASE WHEN score < 0.001::FLOAT THEN 0::FLOAT ELSE score END AS floored FROM music")
 def silence_floor(spark, d):
-    """A third of the chunks; ``silence_floor_all`` takes them all."""
-    return _floored(_music(spark, d).where("chunk % 3 = 0"))
+    return _floored(_music(spark, d))
 
 
 @query(ORACLES["silence_floor"].replace(" WHERE chunk % 3 = 0", ""))

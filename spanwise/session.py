@@ -25,3 +25,16 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(package, tree / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(os.path.join(folder, "spanwise"), "zip", tree))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only in local mode where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spanwise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
