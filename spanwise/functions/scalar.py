@@ -198,3 +198,139 @@ def schedule(low_ram: Column, total_mib: Column) -> Column:
 
 def shape(has_video: Column, long_job: Column, censor: Column, music: Column) -> Column:
     return F.when(~has_video, "audio-only").when(long_job & censor, "segmented").when(censor & music, "combined").when(music, "music").otherwise("censor")
+
+
+def box_size(left: Column, top: Column, right: Column, bottom: Column) -> tuple[Column, Column]:
+    return right - left, bottom - top
+
+
+def upright_size(width: Column, height: Column, degrees: Column) -> tuple[Column, Column]:
+    """Width and height swapped for quarter turns."""
+    turned = F.pmod(degrees, F.lit(180)) == 90
+    return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+
+
+def normalized(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> tuple[Column, ...]:
+    """A pixel box as shares of the upright picture."""
+    return left / width, top / height, right / width, bottom / height
+
+
+def orientation(width: Column, height: Column) -> Column:
+    return F.when(width >= height, "landscape").otherwise("portrait")
+
+
+def feather(distance: Column, edge: Column) -> Column:
+    """1 inside the unit distance, 0 beyond it and the edge, smooth between."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + edge - distance) / edge))
+    return t * t * (3 - 2 * t)
+
+
+def key(column: str, name: str, kind: str) -> Column:
+    """An optional key of a string map, null where it is absent or of another kind."""
+    return F.try_element_at(column, F.lit(name)).try_cast(kind)
+
+
+def required(value: Column, message: str) -> Column:
+    """``value``, or an error where it is null."""
+    return F.coalesce(value, F.raise_error(F.lit(message)))
+
+
+def audio_plan(readable: Column, tracks: Column, fits: Column) -> Column:
+    return F.when(~readable, "transcode").when(tracks == 0, "none").when(fits, "copy").otherwise("transcode")
+
+
+def finished(name: Column) -> Column:
+    """Whether a file's extension is not that of an unfinished download."""
+    return ~F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin("part", "ytdl", "temp")
+
+
+def folder(mime: Column) -> Column:
+    return F.when(mime.startswith("video/"), "Movies").otherwise("Music")
+
+
+def preferred_asset(assets: Column, token: str) -> Column:
+    """Link of the first package whose name holds the token, else of the first package."""
+    fit = F.filter(assets, lambda a: F.lower(a["name"]).endswith(".apk") & (a["url"] != ""))
+    own = F.filter(fit, lambda a: a["name"].contains(token))
+    return F.coalesce(F.get(own, F.lit(0))["url"], F.get(fit, F.lit(0))["url"])
+
+
+def blur_amount(amount: Column, gray: Column, solid: Column) -> Column:
+    """A blur of 0 with neither gray nor solid would do nothing and becomes 25."""
+    return F.when((amount == 0) & ~gray & ~solid, 25).otherwise(amount)
+
+
+def scratch_bytes(duration_ms: Column, transcode: Column) -> Column:
+    seconds = F.floor(duration_ms / 1000)
+    return seconds * 176_400 + F.when(transcode, seconds * 24_000).otherwise(0)
+
+
+def quality(name: Column) -> Column:
+    return F.when(name.isin("P480", "P720", "P1080", "BEST"), name).otherwise("BEST")
+
+
+def censors(censor: Column, audio_only: Column) -> Column:
+    return F.when(audio_only, F.lit(False)).otherwise(censor)
+
+
+def due(now: Column, last: Column, every_ms: int) -> Column:
+    return now - last > every_ms
+
+
+def offset_ms(pts_us: Column, start_ms: Column) -> Column:
+    return F.floor(pts_us / 1000) + start_ms
+
+
+def length_off(frames: Column, expected: Column) -> Column:
+    """Whether two lengths differ by more than a second of samples."""
+    return F.abs(frames - expected) > 44_100
+
+
+def band(base: Column, span: Column, sub: Column) -> Column:
+    """A step's percent mapped into its band, clamped."""
+    inner = F.greatest(F.lit(0), F.least(F.lit(100), sub))
+    return F.least(F.lit(100), F.greatest(F.lit(0), base + F.floor(inner * span / 100)))
+
+
+def shares(*steps: tuple[Column, int]) -> Column:
+    """Percent of several steps, each with its share of the whole."""
+    return sum((F.floor(percent * share / 100) for percent, share in steps), F.lit(0))
+
+
+def model_error(message: Column) -> Column:
+    m = F.lower(message)
+    has = lambda *words: F.coalesce(sum((m.contains(w).cast("int") for w in words), F.lit(0)) > 0, F.lit(False))
+    return F.when(has("checksum", "sha256"), "CORRUPT").when(has("enospc", "no space left"), "LOW_SPACE").when(has("timed out", "connection", "network", "http"), "NETWORK").otherwise("GENERIC")
+
+
+def inside(pts: Column, start: int, end: int) -> Column:
+    return (pts >= start) & (pts < end)
+
+
+def stereo(channels: Column) -> Column:
+    """[left, right] of one, two or six channels."""
+    c = [F.get(channels, F.lit(k)) for k in range(6)]
+    left, right = fold_down(c)
+    return F.when(F.size(channels) == 1, F.array(c[0], c[0])).when(F.size(channels) == 2, F.array(c[0], c[1])).otherwise(F.array(left, right))
+
+
+def mono(left: Column, right: Column) -> Column:
+    return 0.5 * (left + right)
+
+
+def finite(x: Column) -> Column:
+    return ~(F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def finite_or_zero(x: Column) -> Column:
+    return F.when(finite(x), x).otherwise(0.0)
+
+
+def sample_pts_us(first_us: Column, samples: Column, rate: int = 44_100) -> Column:
+    return first_us + F.floor(samples * 1_000_000 / rate)
+
+
+def transform_grid(length: Column, hop: int = 1024) -> tuple[Column, Column, Column]:
+    """Hops of a length, right padding beside a left one of 1.5 hops, and frames."""
+    le = F.ceil(length / hop)
+    return le, F.lit(hop // 2 * 3) + le * hop - length, le + 4
