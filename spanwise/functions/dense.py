@@ -70,3 +70,8 @@ def square_crop(picture: np.ndarray, left: float, top: float, right: float, bott
     xs = np.clip(((left + right) / 2 * w - half + np.arange(side) * half * 2 / side).astype(int), 0, w - 1)
     ys = np.clip(((top + bottom) / 2 * h - half + np.arange(side) * half * 2 / side).astype(int), 0, h - 1)
     return picture[..., ys[:, None], xs[None, :]]
+
+
+def tensor(y: np.ndarray, u: np.ndarray, v: np.ndarray, degrees: int = 0) -> np.ndarray:
+    """(1, 3, h, w) float32 in [0, 1] of 4:2:0 planes, turned upright."""
+    return upright(rgb(y, u, v), degrees)[None].astype(np.float32) / 255

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.functions import scalar
+
 #: Fixed values of the chunk grid, in frames.
 SEGMENT, STRIDE, LEAD = 114_660, 103_194, 22_050
 MUSIC, NEAR_MUSIC = 0.15, 0.02
@@ -32,17 +36,69 @@ def chunk_grid(tracks: DataFrame) -> DataFrame:
 def dilate(scores: DataFrame, by: str, bucket: int = 4096) -> DataFrame:
     """Add ``separate``: music within one chunk, or within two if the chunk itself is not quite silent.
 
-    Groups are cut into buckets of chunks; each bucket also gets two chunks of its neighbours,
-    so a long track is many groups and the frames see what they need.
+    A neighbour inside the track that was never scored forces separation; before its start and after its
+    end is silence. Groups are cut into buckets of chunks; each bucket also gets two chunks of its
+    neighbours, so a long track is many groups and the frames see what they need.
     """
     b = F.floor(F.col("chunk") / bucket)
     reach = F.array_distinct(F.array(F.floor((F.col("chunk") - 2) / bucket), b, F.floor((F.col("chunk") + 2) / bucket)))
+    last = scores.groupBy(F.col(by).alias("_by")).agg(F.max("chunk").alias("_last"))  # a row per track
     wide = scores.withColumn("_own", b).withColumn("_b", F.explode(reach))
     order = Window.partitionBy(by, "_b").orderBy("chunk")
     near, far = F.max("score").over(order.rangeBetween(-1, 1)), F.max("score").over(order.rangeBetween(-2, 2))
     music, some = F.lit(MUSIC).cast("float"), F.lit(NEAR_MUSIC).cast("float")
-    out = wide.withColumn("separate", (near >= music) | ((F.col("score") >= some) & (far >= music)))
-    return out.where("_b = _own").drop("_b", "_own")
+    there = F.count("*").over(order.rangeBetween(-2, 2))
+    out = wide.withColumn("_near", near).withColumn("_far", far).withColumn("_there", there).where("_b = _own").join(last, F.col(by).eqNullSafe(F.col("_by")))
+    expected = F.least(F.col("_last"), F.col("chunk") + 2) - F.greatest(F.lit(0), F.col("chunk") - 2) + 1
+    separate = (F.col("_there") < expected) | (F.col("_near") >= music) | ((F.col("score") >= some) & (F.col("_far") >= music))
+    return out.withColumn("separate", separate).drop("_b", "_own", "_near", "_far", "_there", "_by", "_last")
+
+
+def skipped_chunks(done: Column, stride: int = STRIDE, lead: int = LEAD) -> Column:
+    """Chunks that a run resumed after ``done`` frames need not compute; exactly one is computed again."""
+    return F.greatest(F.lit(0).cast("long"), F.floor((done + lead) / stride) - 1)
+
+
+def separate(samples: DataFrame, by: str, model, segment: int = SEGMENT, stride: int = STRIDE, lead: int = LEAD, done: DataFrame | None = None) -> DataFrame:
+    """``by, i, l, r``: samples normalised, put through ``model`` chunk by chunk, added up and scaled back.
+
+    ``samples``: by, i, l, r. ``model``: array (segment, 2) -> array (segment, 2), run for each chunk as
+    an Arrow group of at most ``segment`` rows. The last chunk is shorter: it is read with real samples
+    on its left and zeros elsewhere, and trimmed to its centre. ``done`` (by, ``written``): a resumed
+    run, which computes only what later samples need and gives only these; they equal the full run's.
+    """
+    facts = samples.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"), F.avg((F.col("l") + F.col("r")) / 2).alias("_mean"), F.greatest(F.lit(1e-8), F.coalesce(F.stddev_samp((F.col("l") + F.col("r")) / 2), F.lit(0.0))).alias("_std"))
+    if done is not None:
+        facts = facts.join(done.select(F.col(by).alias("_d"), "written"), F.col("_by") == F.col("_d"), "left").drop("_d").withColumn("written", F.coalesce("written", F.lit(0)))
+    else:
+        facts = facts.withColumn("written", F.lit(0))
+    facts = facts.withColumn("_skip", skipped_chunks(F.col("written"), stride, lead))  # a row per track
+    p, last = F.col("i") + lead, F.ceil((F.col("_n") + lead) / stride) - 1
+    tail = F.floor((segment - F.least(F.lit(segment), F.col("_n") + lead - last * stride)) / 2)  # left context of the last chunk
+    k = F.floor(p / stride)
+    over = -(-segment // stride)
+    ks = F.array(*[k - j for j in range(over)], *[k + 1 + j for j in range(over)])
+    fits = lambda c: (c >= 0) & (c <= last) & (c >= F.col("_skip")) & (p - c * stride < segment) & (p - c * stride >= F.when(c == last, -tail).otherwise(0))
+    cells = samples.join(facts, F.col(by) == F.col("_by")).withColumn("_k", F.explode(F.filter(ks, fits)))
+    cells = cells.select(by, "_k", p.alias("_p"), ((F.col("l") - F.col("_mean")) / F.col("_std")).alias("l"), ((F.col("r") - F.col("_mean")) / F.col("_std")).alias("r"), (F.col("_n") + lead).alias("_end"))
+
+    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        off = int(key[1]) * stride
+        size = min(segment, int(rows["_end"].iloc[0]) - off)
+        left = (segment - size) // 2
+        wave = np.zeros((segment, 2))
+        at = rows["_p"].to_numpy() - (off - left)
+        wave[at] = rows[["l", "r"]].to_numpy()
+        out = model(wave)[left : left + size]
+        j = np.arange(size)
+        g = np.minimum(j + 1, segment - j) / (segment / 2)
+        return pd.DataFrame({by: key[0], "i": off + j - lead, "gl": g * out[:, 0], "gr": g * out[:, 1], "g": g})[off + j >= lead]
+
+    kind = samples.schema[by].dataType.simpleString()
+    added = cells.groupBy(by, "_k").applyInPandas(chunk, f"{by} {kind}, i long, gl double, gr double, g double").groupBy(by, "i").agg(F.sum("gl").alias("gl"), F.sum("gr").alias("gr"), F.sum("g").alias("g"))
+    back = added.join(facts, F.col(by) == F.col("_by")).where("i >= written")
+    side = lambda c: scalar.finite_or_zero(scalar.soft_clip(F.col(c) / F.col("g") * F.col("_std") + F.col("_mean")))
+    return back.select(by, "i", side("gl").alias("l"), side("gr").alias("r"))
 
 
 def overlap_add(chunks: DataFrame, by: list[str], segment: int) -> DataFrame:

@@ -20,8 +20,12 @@ def hysteresis(fired: DataFrame, delay: str = "5 seconds") -> DataFrame:
 
 
 def track_spans(faces: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """Tracks ``video_id, tracking_id`` closed once an id was not seen for two seconds of frame time."""
-    session = faces.withWatermark("ts", delay).groupBy("video_id", "tracking_id", F.session_window("ts", "2 seconds"))
+    """Tracks ``video_id, tracking_id`` closed once an id was not seen for two seconds of frame time.
+
+    A session window joins rows that are at most its gap apart, so the gap is a millisecond less.
+    Rows later than the watermark are dropped.
+    """
+    session = faces.withWatermark("ts", delay).groupBy("video_id", "tracking_id", F.session_window("ts", "1999 milliseconds"))
     return session.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 
 
@@ -43,30 +47,34 @@ def deduped(jobs: DataFrame, key: str = "url", delay: str = "1 hour") -> DataFra
 def dilation(scores: DataFrame) -> DataFrame:
     """``video_id, chunk, separate`` two chunks late. State holds five scores at most.
 
-    ``scores``: video_id, chunk, score, in chunk order per video; a row with a null score ends
-    the video and lets the last two chunks out.
+    ``scores``: video_id, chunk, score; a row with a null score ends the video and lets the last two
+    chunks out. A chunk that was not there when its turn came, or whose neighbour was not, is separated;
+    if it comes after its turn it still counts for those whose turn is to come.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done, last, held = state.get if state.exists else (0, -1, [])
-        seen = dict(zip(range(last - len(held) + 1, last + 1), held, strict=True))
-        out = []
+        done, last, places, held = state.get if state.exists else (0, -1, [], [])
+        seen = dict(zip(places, held, strict=True))
+        out, end = [], False
         for rows in batches:
-            for chunk, score in sorted(zip(rows.chunk, rows.score, strict=True)):
-                end = pd.isna(score)
-                if not end:
-                    last = int(chunk)
-                    seen[last] = float(score)
-                while done <= (last if end else last - 2):
-                    near = max(seen.get(k, 0.0) for k in range(done - 1, done + 2))
-                    far = max(seen.get(k, 0.0) for k in range(done - 2, done + 3))
-                    out.append((key[0], done, near >= MUSIC or (seen[done] >= NEAR_MUSIC and far >= MUSIC)))
-                    done += 1
-                seen = {k: v for k, v in seen.items() if k >= done - 2}
-        state.update((done, last, [seen[k] for k in sorted(seen)]))
+            for chunk, score in zip(rows.chunk, rows.score, strict=True):
+                if pd.isna(score):
+                    end = True
+                elif chunk >= done - 2:
+                    seen[int(chunk)] = float(score)
+                    last = max(last, int(chunk))
+        while done <= (last if end else last - 2):
+            around = [k for k in range(max(0, done - 2), min(last, done + 2) + 1)]
+            missing = any(k not in seen for k in around)
+            near = max([seen[k] for k in around if k in seen and abs(k - done) <= 1], default=0.0)
+            far = max([seen[k] for k in around if k in seen], default=0.0)
+            out.append((key[0], done, missing or near >= MUSIC or (seen[done] >= NEAR_MUSIC and far >= MUSIC)))
+            done += 1
+            seen = {k: v for k, v in seen.items() if k >= done - 2}
+        state.update((done, last, sorted(seen), [seen[k] for k in sorted(seen)]))
         yield pd.DataFrame(out, columns=["video_id", "chunk", "separate"])
 
-    return scores.groupBy("video_id").applyInPandasWithState(step, "video_id string, chunk long, separate boolean", "done long, last long, held array<double>", "append", "NoTimeout")
+    return scores.groupBy("video_id").applyInPandasWithState(step, "video_id string, chunk long, separate boolean", "done long, last long, places array<long>, held array<double>", "append", "NoTimeout")
 
 
 def settle(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -79,4 +87,4 @@ def settle(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store)
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
