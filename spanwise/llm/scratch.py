@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -43,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{root(spark)}/spanwise/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _made.append(self.base)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -62,3 +64,16 @@ class Scratch:
             if path:
                 hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables of operators run after the mark ``since``; what reads them must be written by now."""
+    for base in _made[since:]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del _made[since:]

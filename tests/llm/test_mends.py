@@ -16,23 +16,23 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 K = "Zx81kLmn02Qp"
 
 
-@pytest.mark.parametrize("n", range(1, 21))
-def test_items_of_every_length(spark, n):
-    """All substitution places, singly and in pairs, of items of 1 to 20 tokens."""
-    item = [f"b{n}x{i}" for i in range(n)]
-    allowed = min(n, 13) * 2 // 13
-    texts, want = {}, set()
-    for k in range(4):
-        for places in itertools.islice(itertools.combinations(range(n), k), 400):
-            words = ["y" if i in places else w for i, w in enumerate(item)]
-            d = len(texts)
-            texts[d] = " ".join([f"f{d}a", f"f{d}b", *words, f"f{d}c"])
-            runs = [sum(i in places for i in range(s, s + min(n, 13))) for s in range(n - min(n, 13) + 1)]
-            if min(runs) <= allowed:
-                want.add(d)
+def test_items_of_every_length(spark):
+    """All substitution places, one to three at a time, of items of 1 to 20 tokens."""
+    texts, items, want = {}, {}, set()
+    for n in range(1, 21):
+        item = items[n] = [f"b{n}x{i}" for i in range(n)]
+        allowed = min(n, 13) * 2 // 13
+        for k in range(4):
+            for places in itertools.islice(itertools.combinations(range(n), k), 400):
+                words = ["y" if i in places else w for i, w in enumerate(item)]
+                d = len(texts)
+                texts[d] = " ".join([f"f{d}a", f"f{d}b", *words, f"f{d}c"])
+                runs = [sum(i in places for i in range(s, s + min(n, 13))) for s in range(n - min(n, 13) + 1)]
+                if min(runs) <= allowed:
+                    want.add((d, n))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"o{i}" for i in range(40)))], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == want
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(99, " ".join(f"o{i}" for i in range(40)))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
 
 
 def test_clean_rows_without_ids(spark):

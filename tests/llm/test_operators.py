@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,10 +9,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from spanwise.llm import decontaminate, feistel, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring
+from spanwise.llm import decontaminate, feistel, licences, lines, minhash, mixing, quality, queries, secrets, sharding, shards, substring
 
+DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, id long, h string"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -47,6 +50,23 @@ def words(t):
     return WORD.findall(t or "")
 
 
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_against_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    columns = sorted(want)
+    assert sorted(got) == columns
+    pd.testing.assert_frame_equal(*(x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want)), check_dtype=False)
+
+
 EMPTY = {
     "minhash": minhash.near_duplicates, "substring": substring.remove_repeats, "secrets": secrets.scan, "licences": licences.scan, "quality": quality.quality,
     "sharding": sharding.shard, "lines": lines.line_report, "mixing": mixing.mix,
