@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanwise import ship
 from spanwise.llm import decontaminate, minhash, mixing, quality, sharding
-from spanwise.llm.scratch import Scratch
+from spanwise.llm.scratch import Scratch, mark, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        since, before = mark(), docs
         docs = keep.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        sweep(spark, since)  # the stage is written: what it made on the way, and what it read, can go
+        keep.drop(before)
     return docs
