@@ -263,24 +263,22 @@ def _classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: st
     groups = sk.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     groups = keep.save(groups, "groups")
     nodes = sk.join(groups.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
-    banded = nodes.where("n > 0").select("id", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("members"), F.max("id").alias("_last")).where("head <> _last").drop("_last")
-    shared = keep.save(banded.join(heads, "band"), "bands")
+    banded = nodes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("members"), F.sum("n").alias("weight"), F.max("id").alias("_last")).where("head <> _last").drop("_last")
+    shared = keep.save(banded.drop("n").join(heads, "band"), "bands")
     stars = keep.save(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = keep.save(verified(stars, docs, id_col, text_col, size, percent), "links")
     comps = keep.save(components(links, keep), "components")
 
     # bands with three nodes or more that are not all in one component
-    placed = shared.where("members > 2").join(comps.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left").select("band", "id", "members", F.coalesce("component", "id").alias("comp"))
+    placed = shared.where("members > 2").join(comps.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left").select("band", "id", "members", "weight", F.coalesce("component", "id").alias("comp"))
     parted = placed.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_all"), F.bit_xor(F.xxhash64("id")).alias("_xor")).where("_lo <> _hi")
     parted = parted.groupBy("_all", "_xor").agg(F.min("band").alias("band")).select("band")  # one band of those with the same nodes
     open_rows = keep.save(placed.join(parted, "band", "left_semi"), "open")
     wanted = keep.save(open_rows.select(F.col("id").alias("_id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(wanted, F.col("id") == F.col("_id"), "left_semi")
     open_rows = open_rows.join(nodes.select("id", "n", "sig"), "id").join(packed_sets(texts, "id", "_text", size), "id")
-    weight = open_rows.groupBy(F.col("band").alias("_band")).agg(F.sum("n").alias("_weight"))
-    open_rows = open_rows.join(weight, F.col("band") == F.col("_band"))
-    blocks = F.greatest(F.ceil(F.col("members") / GROUP), F.ceil(F.col("_weight") / GROUP_SHINGLES))
+    blocks = F.greatest(F.ceil(F.col("members") / GROUP), F.ceil(F.col("weight") / GROUP_SHINGLES))
     blocked = open_rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     blocked = blocked.select("band", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"), "block", "id", "comp", "n", "sig", "shingles")
     t = percent / 100

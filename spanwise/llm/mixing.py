@@ -96,12 +96,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3
     ties = ["_other", "_m"] if repeats else []
     plan = _plan(named.select("doc_id", "source", "size", "_key", *ties), keep, weights, most, ties).where("taken > 0")
     key = ["_m"] if repeats else ["doc_id", "source", "_key"]
-    plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in key], "epochs", "rest")
+    plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in key], "epochs", "rest", "size")
     same = F.lit(True)
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
     times = F.sequence(F.lit(1), (F.col("epochs") + (F.col("rest") > 0).cast("int")).cast("int"))
-    rows = named.join(plan, same).select("_row", "epochs", "rest", "size", F.explode(times).alias("_time"))
+    rows = named.drop("size").join(plan, same).select("_row", "epochs", "rest", "size", F.explode(times).alias("_time"))
     words = F.array_remove(F.split(F.col(f"_row.{text_col}"), SPACE), "")
     cut = F.when((F.col("_time") > F.col("epochs")) & (F.col("rest") < F.col("size")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col(f"_row.{text_col}"))
     return rows.select(*[cut.alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
