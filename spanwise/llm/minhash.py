@@ -18,7 +18,7 @@ from .sized import maybe_broadcast
 SLOTS = 252
 BLOCK = 1 << 21
 #: A block's rows and shingles, on average.
-GROUP, GROUP_SHINGLES = 256, 1 << 21
+GROUP, GROUP_SHINGLES = 1024, 1 << 21
 GONE_BYTES = 16 << 20
 EMPTY = np.uint64(tc.MASK)
 
