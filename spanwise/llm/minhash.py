@@ -186,6 +186,8 @@ def _bridges(least: float, percent: int):
 
     def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.block == key[1]], rows[rows.block == key[2]]
+        if left.empty or right.empty:  # few rows over many blocks, as with very long texts
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         other = np.frombuffer(b"".join(right.sig), dtype=np.uint8).reshape(len(right), -1)
         ids, comps, sizes = right.id.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in right.shingles]

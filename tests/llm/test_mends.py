@@ -222,3 +222,25 @@ def test_substring_with_null_and_repeated_ids(spark):
     for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id].append((r.n_words, r.n_removed))
     assert {k: sorted(v) for k, v in got.items()} == {None: [(0, 0), (40, 40)], 4: [(2, 0), (41, 40)], 5: [(40, 40)]}
+
+
+@pytest.mark.parametrize("group", [3, 1024])
+def test_chains_that_meet_in_blocks(spark, monkeypatch, group):
+    """Neighbours of a chain are linked, others share bands only: what stars miss is found in the pairs of blocks."""
+    monkeypatch.setattr(minhash, "GROUP", group)
+    rng = random.Random(11)
+    now, texts = [f"w{i}" for i in range(200)], []
+    for k in range(90):
+        for i in rng.sample(range(5, 195), 8 if k % 15 == 0 else 3):
+            now[i] = f"x{k}y{i}"
+        texts.append(" ".join(now))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if want[a] != want[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            low, high = sorted((want[a], want[b]))
+            want = [low if g == high else g for g in want]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+    assert 2 < len(set(want)) < 60
