@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .sized import maybe_broadcast
 EDITS, LEAST_CHARS = 2, 30
 WORD = "[\\p{L}\\p{N}]"
 ID_BYTES = 16 << 20
+#: Lines that may share a segment before it is split by the rest of the lines.
+CROWD = 1024
 
 
 def _segments(edits: int) -> Column:
@@ -68,35 +72,138 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int, short:
     return split.where(taken | F.col("line").rlike(WORD) if short else taken).select("doc", "at", "line", F.length("line").alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
-def similar_pairs(docs: DataFrame, keep: Scratch, edits: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """``a1, a2, b1, b2``: hashes of two different lines within ``edits`` edits, each pair once."""
-    every = _occurrences(docs, id_col, text_col, least)
-    distinct = every.withColumn("bits", _letters(F.col("line"))).groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
-    index = distinct.select(F.explode(_segments(edits)).alias("h"), F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
-    probe = distinct.select(F.explode(_probes(edits)).alias("h"), F.col("k1").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
-    # of the edits, as many as the lengths differ by are insertions, which change one count only
-    near = _letters_apart(F.col("ab"), F.col("bb")) <= 2 * edits - (F.col("an") - F.col("bn"))
-    pairs = probe.join(index, (probe.h == index.h) & (F.col("a") != F.col("b")) & near & ((F.col("an") > F.col("bn")) | (F.col("a") > F.col("b")))).select("a", "b").distinct()
-    pairs = keep.save(pairs, "pairs")
+def _distinct(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool) -> DataFrame:
+    """One row per different line: hashes, first place, whether it comes again; text, length and letters of those compared by edits."""
+    long_enough = F.col("n") >= least
+    every = _occurrences(docs, id_col, text_col, least, short).withColumn("line", F.when(long_enough, F.col("line")))
+    return every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first"), (F.count("*") > 1).alias("again"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
+
+
+def _cuts(edits: int, probe: bool) -> Column:
+    """Array of ``places, shifts``: which segments of ``3 * edits`` are left out, and how far the text behind each has moved.
+
+    Lines within ``edits`` edits agree outside some ``edits`` segments. Behind the j-th of these the longer
+    line is moved by ``shifts[j]``; the moves cost an edit for each character. The shorter line has none.
+    """
+    out = []
+    for places in itertools.combinations(range(3 * edits), edits):
+        for moved in itertools.product(range(-edits, edits + 1), repeat=edits) if probe else [(0,) * edits]:
+            if moved[-1] >= 0 and sum(abs(x - y) for x, y in zip(moved, (0, *moved[:-1]), strict=True)) <= edits:
+                out.append(F.struct(F.array(*map(F.lit, places)).alias("places"), F.array(*map(F.lit, moved)).alias("shifts")))
+    return F.array(*out)
+
+
+def _cut(rows: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """``key, end, k, f, bits, n, t``: rows by what their text ``t`` has outside each choice of segments; ``t`` is then the rest.
+
+    ``end`` marks keys whose text had at most a character a segment; their rest is too short to be cut again.
+    """
+    parts, t = 3 * edits, F.col("t")
+    places, shifts = F.col("_cut.places"), F.col("_cut.shifts")
+    size = F.length("t") - shifts[edits - 1]  # length of the shorter text
+    kept, rest, sound, behind, moved = [], [], size >= 0, F.lit(0), F.lit(0)
+    for j in range(edits):
+        i = places[j]
+        start = (F.floor(size / parts) * i + F.greatest(F.lit(0), size % parts - (parts - i))).cast("int")
+        stop = start + (F.floor(size / parts) + F.when(parts - i <= size % parts, 1).otherwise(0)).cast("int")
+        kept.append(F.substring(t, behind + moved + 1, start - behind))
+        rest.append(F.substring(t, start + moved + 1, stop + shifts[j] - start - moved))
+        sound = sound & (stop + shifts[j] >= start + moved)
+        behind, moved = stop, shifts[j]
+    kept.append(F.substring(t, behind + moved + 1, F.length("t")))
+    cut = rows.withColumn("_cut", F.explode(_cuts(edits, probe))).where(sound)
+    return cut.select(F.xxhash64("g", size.cast("int"), places, F.concat(*kept)).alias("key"), (size <= parts).alias("end"), "k", "f", "bits", "n", F.concat(*rest).alias("t"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, keep: Scratch, edits: int) -> DataFrame:
+    """``a1, a2, b1, b2`` of the pairs ``a, b`` within ``edits`` edits; ``pairs`` is a written table."""
     ids = keep.save(pairs.select(F.col("a").alias("_k")).unionByName(pairs.select(F.col("b").alias("_k"))).distinct(), "ids")
-    texts = every.join(maybe_broadcast(ids, ID_BYTES), F.col("k1") == F.col("_k"), "left_semi").groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    texts = keep.save(texts, "lines")
+    texts = distinct.where("line is not null").join(maybe_broadcast(ids, ID_BYTES), F.col("k1") == F.col("_k"), "left_semi")
+    texts = keep.save(texts.select("k1", "k2", "line"), "lines")
     one = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("line").alias("_la"))
     two = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("line").alias("_lb"))
     checked = pairs.join(one, "a").join(two, "b").where(F.levenshtein("_la", "_lb", edits) >= 0)
     return checked.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def _near(a: str, b: str, edits: int) -> Column:
+    """Rows ``a`` (the longer line, of equal ones the greater hash) and ``b`` may be within ``edits`` edits by their letters."""
+    apart = F.col(f"{a}.n") - F.col(f"{b}.n")
+    # of the edits, as many as the lengths differ by are insertions, which change one count only
+    return (_letters_apart(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= 2 * edits - apart) & ((apart > 0) | (F.col(f"{a}.k") > F.col(f"{b}.k"))) & (F.col(f"{a}.k") != F.col(f"{b}.k"))
+
+
+def _crowded(index: DataFrame, key: str, crowd: int, keep: Scratch) -> DataFrame | None:
+    """The keys that more than ``crowd`` rows share, or None."""
+    found = keep.save(index.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(F.col(key).alias("_hot")), "crowded")
+    return None if found.isEmpty() else maybe_broadcast(found, ID_BYTES)
+
+
+def _crowded_links(lines: DataFrame, distinct: DataFrame, keep: Scratch, edits: int, crowd: int) -> DataFrame:
+    """Links among lines that share a crowded segment; each line with an earlier line near it has one at least.
+
+    First every row meets the earliest line of its key alone, which settles lines near a common one.
+    Lines left are compared within keys of at most ``crowd`` lines: a key with more is cut again by the
+    text it left out, until that is a few characters.
+    """
+    rows = keep.save(lines, "crowd")
+    index, probe = _cut(rows, edits, False), _cut(rows, edits, True)
+    index, probe = keep.save(index, "index"), keep.save(probe, "probe")
+    pairs = None
+    for mine, other in ((probe, index), (index, probe)):
+        least = other.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("f", "k")).alias("_m"))
+        met = mine.join(least, F.col("key") == F.col("_key")).where((F.col("_m.f") < F.col("f")) & (F.col("_m.k") != F.col("k"))).select(F.col("k").alias("a"), F.col("_m.k").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    links = keep.save(_verified(keep.save(pairs.distinct(), "pairs"), distinct, keep, edits), "links")
+    settled = keep.save(links.select(F.col("a1").alias("_settled")).distinct(), "settled")
+    index, probe = (side.join(maybe_broadcast(settled, ID_BYTES), F.col("k") == F.col("_settled"), "left") for side in (index, probe))
+    while True:
+        hot = _crowded(index.where(~F.col("end")), "key", crowd, keep)
+        few = [side if hot is None else side.join(hot, F.col("key") == F.col("_hot"), "left_anti") for side in (index, probe)]
+        later = (F.col("a._settled").isNull() & (F.col("b.f") < F.col("a.f"))) | (F.col("b._settled").isNull() & (F.col("a.f") < F.col("b.f")))
+        met = few[1].alias("a").join(few[0].alias("b"), (F.col("a.key") == F.col("b.key")) & _near("a", "b", edits) & later)
+        met = keep.save(met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), "pairs")
+        links = links.unionByName(_verified(met, distinct, keep, edits))
+        if hot is None:
+            return links
+        again = [keep.save(side.join(hot, F.col("key") == F.col("_hot"), "left_semi").withColumnRenamed("key", "g"), "again") for side in (index, probe)]
+        index, probe = (_cut(side, edits, k == 1).join(maybe_broadcast(settled, ID_BYTES), F.col("k") == F.col("_settled"), "left") for k, side in enumerate(again))
+
+
+def similar_pairs(distinct: DataFrame, keep: Scratch, edits: int, crowd: int = CROWD) -> DataFrame:
+    """``a1, a2, b1, b2``: hashes of two different lines within ``edits`` edits.
+
+    ``distinct`` is a written table of ``_distinct``. Pairs that share a segment of at most ``crowd``
+    lines all appear; of the others enough for each line to meet an earlier one, if there is any.
+    """
+    rows = distinct.where("line is not null").select(F.col("k1").alias("k"), "n", "line", "first", _letters(F.col("line")).alias("bits"))
+    index = rows.select(F.explode(_segments(edits)).alias("h"), "k", "n", "bits")
+    probe = rows.select(F.explode(_probes(edits)).alias("h"), "k", "n", "bits")
+    hot = _crowded(index, "h", crowd, keep) if edits else None
+    few = [side if hot is None else side.join(hot, F.col("h") == F.col("_hot"), "left_anti") for side in (index, probe)]
+    pairs = few[1].alias("a").join(few[0].alias("b"), (F.col("a.h") == F.col("b.h")) & _near("a", "b", edits))
+    pairs = keep.save(pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, distinct, keep, edits)
+    if hot is None:
+        return links
+    shared = index.select("h", "k").unionByName(probe.select("h", "k")).join(hot, F.col("h") == F.col("_hot"), "left_semi")
+    crowded = rows.join(shared.select(F.col("k").alias("_k")).distinct(), F.col("k") == F.col("_k"), "left_semi")
+    crowded = crowded.select(F.lit(0).cast("long").alias("g"), "k", F.col("first").alias("f"), "bits", "n", F.col("line").alias("t"))
+    return links.unionByName(_crowded_links(crowded, distinct, keep, edits, crowd))
+
+
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, crowd: int = CROWD) -> DataFrame:
     """``doc, at`` of every line that an earlier line equals or is within ``edits`` edits of.
 
     Earlier: by document id, then by place. Lines under ``least`` characters are left alone, or
-    with ``short`` are compared for equality alone if they hold a letter or digit.
+    with ``short`` are compared for equality alone if they hold a letter or digit. Segments that
+    more than ``crowd`` lines share are split by the rest of the lines; the result is the same.
     """
     keep = Scratch(docs.sparkSession, "lines")
-    links = keep.save(similar_pairs(docs, keep, edits, least, id_col, text_col), "links")
+    distinct = keep.save(_distinct(docs, id_col, text_col, least, short), "distinct")
+    links = keep.save(similar_pairs(distinct, keep, edits, crowd), "links")
     every = _occurrences(docs, id_col, text_col, least, short).select("doc", "at", "k1", "k2")
-    firsts = keep.save(every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first"), (F.count("*") > 1).alias("again")), "firsts")
+    firsts = distinct.select("k1", "k2", "first", "again")
     both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     around = both.join(firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "first"), ["b1", "b2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("first").alias("near"))
     # a line that is there once is its own first, so it needs no limit of its own
