@@ -60,7 +60,7 @@ def _letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of how far the counts are apart; an edit changes two of them by one at most."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        d = (F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k)).bitwiseAND(F.lit(15))
+        d = (F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
         total = total + F.least(d, 16 - d)
     return total
 

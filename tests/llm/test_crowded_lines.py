@@ -57,3 +57,10 @@ def test_any_cut_keeps_pairs_within_the_edits(spark):
         for a, b in itertools.product(range(len(texts)), repeat=2):
             if len(texts[a]) >= len(texts[b]) and _within(texts[a], texts[b], 2):
                 assert (a, b) in met, (texts[a], texts[b])
+
+
+def test_letter_counts_of_the_highest_bit(spark):
+    """Eight of the last counted letter and none of the others set the top bit of the packed counts alone."""
+    texts = ["s" * 8 + "u" * 25, "s" * 8 + "u" * 24 + "x", "e" * 15 + "u" * 18, "s" * 8 + "u" * 30 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc, r.at) for r in lines.repeated_lines(docs).collect()} == {(1, 0)}
