@@ -30,7 +30,7 @@ def _segments(edits: int) -> Column:
 
 
 def _probes(edits: int) -> Column:
-    """Hashes of the substrings that can equal a segment of a line 0..edits shorter (multi-match-aware selection)."""
+    """Hashes of the substrings that can equal a segment of a line 0..edits shorter (multi-match-aware selection), those in ``segments`` too."""
     parts, out = edits + 1, []
     for d in range(edits + 1):
         n = F.col("n") - d
@@ -39,6 +39,9 @@ def _probes(edits: int) -> Column:
             size = F.floor(n / parts) + F.when(F.lit(parts - i) <= n % parts, 1).otherwise(0)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 at = start + shift + 1
+                if d == shift == 0:  # the line's own segment
+                    out.append(F.element_at("segments", i + 1))
+                    continue
                 piece = F.substring("line", at.cast("int"), size.cast("int"))
                 out.append(F.when((n >= parts) & (at >= 1) & (at + size - 1 <= F.col("n")), F.xxhash64(n.cast("int"), F.lit(i), piece)))
     return F.array_distinct(F.array_compact(F.array(*out)))
@@ -79,6 +82,12 @@ def _distinct(docs: DataFrame, id_col: str, text_col: str, least: int, short: bo
     return every.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first"), (F.count("*") > 1).alias("again"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
 
 
+def _indexed(distinct: DataFrame, edits: int) -> DataFrame:
+    """``distinct`` with what every later step asks of a line: its letters and the hashes of its segments."""
+    there = F.col("line").isNotNull()
+    return distinct.withColumns({"bits": F.when(there, _letters(F.col("line"))), "segments": F.when(there, _segments(edits))})
+
+
 def _cuts(edits: int, probe: bool) -> Column:
     """Array of ``places, shifts``: which segments of ``3 * edits`` are left out, and how far the text behind each has moved.
 
@@ -173,11 +182,11 @@ def _crowded_links(lines: DataFrame, distinct: DataFrame, keep: Scratch, edits:
 def similar_pairs(distinct: DataFrame, keep: Scratch, edits: int, crowd: int = CROWD) -> DataFrame:
     """``a1, a2, b1, b2``: hashes of two different lines within ``edits`` edits.
 
-    ``distinct`` is a written table of ``_distinct``. Pairs that share a segment of at most ``crowd``
+    ``distinct`` is a written table of ``_indexed``. Pairs that share a segment of at most ``crowd``
     lines all appear; of the others enough for each line to meet an earlier one, if there is any.
     """
-    rows = distinct.where("line is not null").select(F.col("k1").alias("k"), "n", "line", "first", _letters(F.col("line")).alias("bits"))
-    index = rows.select(F.explode(_segments(edits)).alias("h"), "k", "n", "bits")
+    rows = distinct.where("line is not null").select(F.col("k1").alias("k"), "n", "line", "first", "bits", "segments")
+    index = rows.select(F.explode("segments").alias("h"), "k", "n", "bits")
     probe = rows.select(F.explode(_probes(edits)).alias("h"), "k", "n", "bits")
     hot = _crowded(index, "h", crowd, keep) if edits else None
     few = [side if hot is None else side.join(hot, F.col("h") == F.col("_hot"), "left_anti") for side in (index, probe)]
@@ -200,7 +209,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     more than ``crowd`` lines share are split by the rest of the lines; the result is the same.
     """
     keep = Scratch(docs.sparkSession, "lines")
-    distinct = keep.save(_distinct(docs, id_col, text_col, least, short), "distinct")
+    distinct = keep.save(_indexed(_distinct(docs, id_col, text_col, least, short), edits), "distinct")
     links = keep.save(similar_pairs(distinct, keep, edits, crowd), "links")
     every = _occurrences(docs, id_col, text_col, least, short).select("doc", "at", "k1", "k2")
     firsts = distinct.select("k1", "k2", "first", "again")
