@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring
+from . import codes, decontaminate, exact, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": shards.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.query,
     "op9_mixing": mixing.query,
     "op10_minhash_near_dedup": minhash.query,
+    "op11_vector_codes": codes.query,
     "op12_exact_dedup": exact.query,
 }
 
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
     "op12_exact_dedup": exact.ORACLE,
 }
