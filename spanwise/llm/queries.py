@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, decontaminate, exact, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring
+from . import codes, decontaminate, exact, licences, lines, minhash, mixing, quality, secrets, sharding, shards, substring, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": shards.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": minhash.query,
     "op11_vector_codes": codes.query,
     "op12_exact_dedup": exact.query,
+    "op13_prefix_trie": trie.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op10_minhash_near_dedup": minhash.ORACLE,
     "op11_vector_codes": codes.ORACLE,
     "op12_exact_dedup": exact.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
