@@ -137,7 +137,8 @@ def report(spark: SparkSession, path: str | list[str], id_col: str = "doc_id", t
         rows = rows.unionByName(more)
     kept = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     out = rows.select("id", F.col("first.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), kept.alias("kept"), "digest", *PLACE)
-    keep.drop(texts)
+    if not named:
+        keep.drop(texts)
     return out
 
 
