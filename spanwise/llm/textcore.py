@@ -2,11 +2,14 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit
 polynomials modulo 2**64 with a final mix; callers that decide something by equality alone
-take two of them with different bases (128 bits).
+take two of them with different bases (128 bits). Polynomials modulo a power of two have
+collisions that hold for every base, the shortest between words of 1024 characters (a Thue-Morse word
+and its complement), so words of 512 bytes and more are hashed with BLAKE2b instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,7 @@ BASE_B = 0xC2B2AE3D27D4EB4F
 WINDOW_A = 0xD6E8FEB86659FD93
 WINDOW_B = 0xA0761D6478BD642F
 PIECE = 1 << 19
+LONG = 512
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -106,7 +110,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = B
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = (total[e] - total[s]) * powers(back, to - at)[s] + (e - s).astype(np.uint64)
         i = j
-    return mix(out)
+    out = mix(out)
+    for k in np.flatnonzero(ends - starts >= LONG):
+        word = data[starts[k] : ends[k]]
+        word = (_LOWER[word] if lower else word).tobytes()
+        out[k] = np.uint64(int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=base.to_bytes(8, "little")).digest(), "little"))
+    return out
 
 
 def windows(word_hashes: np.ndarray, size: int, base: int = WINDOW_A) -> np.ndarray:

@@ -244,3 +244,20 @@ def test_chains_that_meet_in_blocks(spark, monkeypatch, group):
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85)
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
     assert 2 < len(set(want)) < 60
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_as_polynomials(spark, n):
+    """A Thue-Morse word and its complement have one value as polynomials modulo 2**64, whatever the base."""
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    rest = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join([*rest[:20], one, *rest[20:]])), (2, " ".join([*rest[:20], two, *rest[20:]]))], "doc_id long, text string")
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect()} == {(1, 41, 0), (2, 41, 0)}
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 85).collect()} == {(1, 1), (2, 2)}
+    same = spark.createDataFrame([(1, " ".join([*rest[:20], one, *rest[20:]])), (2, " ".join([*rest[:20], one, *rest[20:]]))], docs.schema)
+    assert {(r.doc_id, r.n_removed) for r in substring.remove_repeats(same).collect()} == {(1, 41), (2, 41)}
+    assert {r.component_id for r in minhash.near_duplicates(same, 85).collect()} == {1}
