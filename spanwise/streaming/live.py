@@ -31,10 +31,13 @@ def _plain(value: object, kind: str) -> object:
 class InEventOrder(StatefulProcessor):
     """Holds the rows of a key until the watermark has passed them and hands them to ``turn``, earliest first.
 
-    ``row`` is the schema of a row, its first field the time in milliseconds as ``at``; the rest breaks ties.
+    ``row`` is the schema of a row, its first field the time in milliseconds after ``origin`` as ``at``; the rest
+    breaks ties. Spark's first watermark is the epoch, so that a row at or before the epoch is late: media time, which begins
+    at 0, needs an origin.
     """
 
     row = "at long"
+    origin = 0
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -49,18 +52,18 @@ class InEventOrder(StatefulProcessor):
             fresh = [tuple(map(_plain, r, self.kinds)) for r in frame[list(self.names)].itertuples(index=False)]
             if fresh:
                 self.waiting.appendList(fresh)
-                self.handle.registerTimer(min(r[0] for r in fresh))
+                self.handle.registerTimer(self.origin + min(r[0] for r in fresh))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() - self.origin
         rows = [tuple(r) for r in self.waiting.get()]
         due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
         if not due:
             return
         if later:
             self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later))
+            self.handle.registerTimer(self.origin + min(r[0] for r in later))
         else:
             self.waiting.clear()
         out = self.turn(key, sorted(due, key=lambda r: tuple((v is not None, v) for v in r if not isinstance(v, list))))
@@ -90,8 +93,8 @@ class Tracks(InEventOrder):
 
     row = "at long, kind int, event_id long, tracking_id long, px int, vote int, rect array<double>"
 
-    def __init__(self, who: str):
-        self.who = who
+    def __init__(self, who: str, origin: int):
+        self.who, self.origin = who, origin
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -130,8 +133,8 @@ class Tracks(InEventOrder):
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRACK.split(", ")])
 
 
-def face_tracks(faces: DataFrame, who: str = "women", delay: str = "2 seconds", parts: int = 4) -> DataFrame:
-    """Tracks with verdict and keyframes, emitted when they close; append mode.
+def face_tracks(faces: DataFrame, who: str = "women", delay: str = "2 seconds", parts: int = 4, origin: int = 0) -> DataFrame:
+    """Tracks with verdict and keyframes, emitted when they close; append mode. Times are milliseconds after ``origin``.
 
     ``faces``: video_id, ts, event_id, tracking_id, px, vote, l, t, r, b and ``ends``, true for a row that
     only says that the video is over at ``ts``. The ids of a video are dealt to ``parts`` groups, so that a
@@ -142,13 +145,13 @@ def face_tracks(faces: DataFrame, who: str = "women", delay: str = "2 seconds",
     kind = F.when(F.col("ends"), END).when(F.col("event_id").isNotNull() & (F.col("part") == own), FACE).otherwise(CLOCK)
     face = lambda c: F.when(F.col("kind") == FACE, c)
     rows = dealt.withColumn("kind", kind).select(
-        "video_id", "part", "ts", F.unix_millis("ts").alias("at"), "kind", face(F.col("event_id")).alias("event_id"), face(F.col("tracking_id")).cast("long").alias("tracking_id"),
+        "video_id", "part", "ts", (F.unix_millis("ts") - origin).alias("at"), "kind", face(F.col("event_id")).alias("event_id"), face(F.col("tracking_id")).cast("long").alias("tracking_id"),
         face(F.col("px")).cast("int").alias("px"), face(F.col("vote")).cast("int").alias("vote"), face(F.array(*[F.col(c).cast("double") for c in "ltrb"])).alias("rect"),
     )
-    return rows.groupBy("video_id", "part").transformWithStateInPandas(Tracks(who), TRACK, "Append", "EventTime")
+    return rows.groupBy("video_id", "part").transformWithStateInPandas(Tracks(who, origin), TRACK, "Append", "EventTime")
 
 
-def hysteresis(fired: DataFrame, durations: DataFrame, delay: str = "3 seconds") -> DataFrame:
+def hysteresis(fired: DataFrame, durations: DataFrame, delay: str = "3 seconds", origin: int = 0) -> DataFrame:
     """Closed intervals of firings ``video_id, ts`` within [0, duration_ms], append mode; firings lie inside the video.
 
     Two firings share an interval exactly if they are at most 2001 ms apart; a session window joins rows
@@ -156,7 +159,7 @@ def hysteresis(fired: DataFrame, durations: DataFrame, delay: str = "3 seconds")
     """
     session = fired.withWatermark("ts", delay).groupBy("video_id", F.session_window("ts", f"{LEAD_MS + LINGER_MS + 1} milliseconds"))
     spans = session.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi")).join(durations, "video_id")
-    return spans.select("video_id", F.greatest(F.lit(0), F.unix_millis("_lo") - LEAD_MS).alias("s"), F.least("duration_ms", F.unix_millis("_hi") + LINGER_MS).alias("e"))
+    return spans.select("video_id", F.greatest(F.lit(0), F.unix_millis("_lo") - origin - LEAD_MS).alias("s"), F.least("duration_ms", F.unix_millis("_hi") - origin + LINGER_MS).alias("e"))
 
 
 class Chain(InEventOrder):

@@ -12,8 +12,11 @@ from spanwise.streaming import append, live
 FACES = "video_id string, ts timestamp, event_id long, tracking_id long, px int, vote int, l double, t double, r double, b double, ends boolean"
 
 
-def at(ms):
-    return datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=ms)
+DAY = 86_400_000
+
+
+def at(ms, origin=0):
+    return datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=ms + origin)
 
 
 def face_rows(rng, videos=("v", "w"), frames=60):
@@ -84,6 +87,15 @@ def test_rows_behind_the_watermark(spark, tmp_path):
     assert {tuple(r)[:10] for r in out.collect()} == batch_tracks(spark, kept)
 
 
+def test_rows_at_time_zero(spark, tmp_path):
+    """With an origin, rows of media time 0 are not behind the first watermark."""
+    face = lambda ms, e: ("v", at(ms, DAY), e, 1, 100, 1, 0.0, 0.0, 1.0, 1.0, False)
+    moves = lambda ms, ends: ("v" if ends else "~", at(ms, DAY), *[None] * 8, ends)
+    parts = [spark.createDataFrame(x, FACES) for x in ([face(0, 1), face(500, 2)], [moves(9000, True)], [moves(99_000, False)])]
+    out, progress = append.delivered(parts, lambda s: live.face_tracks(s, origin=DAY), str(tmp_path / "run"))
+    assert [tuple(r)[:10] for r in out.collect()] == [("v", 1, 1, 0, 550, 2, 1, 0, 1, False)] and dropped(progress) == 0
+
+
 def test_hysteresis_late_rows(spark, tmp_path):
     schema = "video_id string, ts timestamp"
     row = lambda ms, v="v": (v, at(ms))
