@@ -1,33 +1,54 @@
 """Interval algebra on inclusive integer intervals ``s, e`` per group.
 
-Where a group may hold a large share of all rows, work is first done inside time buckets and
-only its compressed result meets per group.
+A group may hold a large share of all rows, so windows run inside time buckets; what a bucket must
+know of the others is worked out on one row per bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 300_000
 
 
-def _islands(df: DataFrame, keys: list[str], bridge: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*keys, "s", "e", (reach.isNull() | (F.col("s") > reach + bridge)).cast("int").alias("_new"))
-    numbered = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
+def _carried(df: DataFrame, by: list[str], what: Column, ahead: bool = False) -> DataFrame:
+    """``by, _b, _carried``: of each bucket the greatest ``what`` of all buckets before it, or with ``ahead`` the least of all behind it.
+
+    ``what`` is an aggregate. The window runs over one row per bucket, not over the rows of a group.
+    """
+    summary = df.groupBy(*by, "_b").agg(what.alias("_w"))
+    order = Window.partitionBy(*by).orderBy(F.col("_b").desc() if ahead else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(c).alias(f"_k_{c}") for c in (*by, "_b")]
+    return summary.select(*names, (F.min("_w") if ahead else F.max("_w")).over(order).alias("_carried"))
+
+
+def _beside(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for c in (*by, "_b"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(summary, same).drop(*[f"_k_{c}" for c in (*by, "_b")])
 
 
 def merge(df: DataFrame, bridge: int, by: list[str], bucket: int = BUCKET) -> DataFrame:
     """Intervals joined while the next starts at most ``bridge`` after the furthest end so far.
 
-    Merging is associative, so islands inside each start bucket come first; the second pass
-    sees islands only.
+    Islands inside each start bucket come first. The furthest end before one of them is the greater of that
+    inside its bucket and that of all earlier buckets; merged islands are numbered likewise, by a number per
+    bucket and a count inside. All steps share the one exchange of the rows.
     """
-    local = _islands(df.select(*by, "s", "e", F.floor(F.col("s") / bucket).alias("_b")), [*by, "_b"], bridge).drop("_b")
-    return _islands(local, by, bridge)
+    inside = Window.partitionBy(*by, "_b").orderBy("s", "e")
+    rows = df.select(*by, "s", "e", F.floor(F.col("s") / bucket).alias("_b"))
+    own = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", (own.isNull() | (F.col("s") > own + bridge)).cast("int"))
+    rows = rows.withColumn("_i", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_b", "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
+    reach = F.greatest(F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))  # nulls count for nothing
+    marked = _beside(rows, _carried(rows, by, F.max("e")), by).withColumn("_reach", reach)
+    marked = marked.select(*by, "_b", "s", "e", (F.col("_reach").isNull() | (F.col("s") > F.col("_reach") + bridge)).cast("long").alias("_new"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    begun = marked.groupBy(*by, "_b").agg(F.sum("_new").alias("_n")).select(*[F.col(c).alias(f"_k_{c}") for c in (*by, "_b")], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begun"))
+    numbered = _beside(marked.withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))), begun, by)
+    return numbered.groupBy(*by, (F.col("_begun") + F.col("_in")).alias("_i")).agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
 
 
 def at_least(df: DataFrame, length: int) -> DataFrame:
@@ -48,10 +69,10 @@ def overlaps(df: DataFrame, limit: int, by: list[str], bucket: int = BUCKET) ->
     inside = Window.partitionBy(*by, "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     active = F.col("_start") + F.col("_in")
     turns = steps.withColumn("_in", F.sum("d").over(inside)).join(starts, [*by, "_b"]).select(*by, "t", (active > limit).alias("hot"), (active - F.col("d") > limit).alias("was")).where("hot <> was")
-    rank = F.row_number().over(Window.partitionBy(*by, "hot").orderBy("t"))
-    ranked = turns.withColumn("_r", rank)
-    begins, ends = ranked.where("hot").select(*by, "_r", F.col("t").alias("s")), ranked.where("not hot").select(*by, "_r", (F.col("t") - 1).alias("e"))
-    return begins.join(ends, [*by, "_r"]).drop("_r")
+    turns = turns.withColumn("_b", F.floor(F.col("t") / bucket))
+    following = F.lead("t").over(Window.partitionBy(*by, "_b").orderBy("t"))  # runs begin and end in turn
+    paired = _beside(turns.withColumn("_next", following), _carried(turns, by, F.min("t"), ahead=True), by)
+    return paired.where("hot").select(*by, F.col("t").alias("s"), (F.coalesce("_next", "_carried") - 1).alias("e"))
 
 
 def _bucketed(intervals: DataFrame, bucket: int) -> DataFrame:

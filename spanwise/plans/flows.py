@@ -3,41 +3,26 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.operators import gate, sampler, spectra, tracks
+from spanwise.operators import gate, sampler, spectra
 from spanwise.session import shared_folder
 from spanwise.sources import fixtures as src
 from spanwise.streaming import append, live
 
-from .catalogue import EV, GATE, PCM, TRACK, _fired, _intervals, _pcm, query
+from .catalogue import EV, GATE, PCM, TRACK, _intervals, _pcm, query
 
 #: Media time 0 as event time: a day after the epoch, at which Spark's watermark begins.
 DAY = 86_400_000
 
-# ------------------------------------------------------------------ streams
-
 
-def delivered(rows: DataFrame, form: Callable[[DataFrame], DataFrame], last: list[dict], deliveries: int = 3) -> DataFrame:
-    """``rows`` cut by their ``ts`` into deliveries that arrive one after another, then a row for each of ``last``, which only moves time; the result of ``form`` in append mode."""
-    spark = rows.sparkSession
-    cuts = rows.select(F.unix_millis("ts").alias("ms")).approxQuantile("ms", [k / deliveries for k in range(1, deliveries)], 0.01)
-    ms = F.unix_millis("ts")
-    edges = [None, *cuts, None]
-    parts = [rows.where((F.lit(True) if a is None else ms >= a) & (F.lit(True) if b is None else ms < b)) for a, b in zip(edges, edges[1:])]
-    parts += [spark.createDataFrame([[row.get(c) for c in rows.columns]], rows.schema) for row in last]
-    return append.delivered(parts, form, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")[0]
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _behind(rows: DataFrame, seconds: int):
-    """A time so long after all rows."""
-    from datetime import timedelta
-
-    last = rows.agg(F.max("ts").alias("t")).first().t
-    return None if last is None else last + timedelta(seconds=seconds)
+# ------------------------------------------------------------------ streams
 
 
 @query(f"""WITH {TRACK}, pl AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_key ORDER BY pts_ms, event_id) AS place FROM track),
@@ -50,10 +35,10 @@ def stream_face_tracks(spark, d):
     """Tracks closed by the time of the frames, with verdict and keyframes at the close, in append mode."""
     faces = src.faces(spark, d).select("video_id", F.timestamp_millis(F.col("pts_ms") + DAY).alias("ts"), "event_id", "tracking_id", "px", "vote", "l", "t", "r", "b", F.lit(False).alias("ends"))
     ends = faces.select("video_id").distinct().withColumn("ends", F.lit(True))
-    end = _behind(faces, 3)
+    end = append.behind(faces, 3)
     closing = [{**r.asDict(), "ts": end} for r in ends.collect()] if end else []  # the source says of each video when it is over
     rows = faces if not closing else faces.unionByName(spark.createDataFrame([[r.get(c) for c in faces.columns] for r in closing], faces.schema))
-    out = delivered(rows, lambda s: live.face_tracks(s, origin=DAY), [{"video_id": "~", "ts": _behind(faces, 3600), "ends": False}] if closing else [])
+    out = append.by_time(rows, lambda s: live.face_tracks(s, origin=DAY), _folder(spark), [{"video_id": "~", "ts": append.behind(faces, 3600), "ends": False}] if closing else [])
     return out.select(*[c for c in out.columns if c != "keyframes"], F.round(F.col("keyframes")[0]["l"], 6).alias("first_l"), F.round(F.element_at("keyframes", -1)["b"], 6).alias("last_b"))
 
 
@@ -63,7 +48,7 @@ def stream_hysteresis_clamped(spark, d):
     scores = src.gate_scores(spark, d)
     durations = src.events(spark, d).groupBy("video_id").agg(F.max("pts_ms").alias("duration_ms"))
     fired = gate.firings(scores, 100).select("video_id", F.timestamp_millis(F.col("pts_ms") + DAY).alias("ts"))
-    return delivered(fired, lambda s: live.hysteresis(s, durations, origin=DAY), [{"video_id": "~", "ts": _behind(fired, 3600)}])
+    return append.by_time(fired, lambda s: live.hysteresis(s, durations, origin=DAY), _folder(spark), [{"video_id": "~", "ts": append.behind(fired, 3600)}])
 
 
 @query("""WITH RECURSIVE ev AS (
@@ -85,13 +70,13 @@ def stream_chains(spark, d):
     adds = orders.select("chain", "ts", F.lit("add").alias("kind"), "item", F.concat(F.lit("h"), F.col("item") % 7).alias("link"))
     ends = orders.drop("ts").join(done, "item").select("chain", "ts", F.lit("end").alias("kind"), "item", F.lit(None).cast("string").alias("link"))
     rows = adds.unionByName(ends)
-    return delivered(rows, live.chains, [{"chain": -1, "ts": _behind(rows, 30 * 86_400), "kind": "end", "item": -1}])
+    return append.by_time(rows, live.chains, _folder(spark), [{"chain": -1, "ts": append.behind(rows, 30 * 86_400), "kind": "end", "item": -1}])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem")
 def append_resumed(spark, d):
     """Rows appended batch by batch by a run that ends between the rows of a batch and its marker, and by the run that resumes it."""
-    base = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
+    base = _folder(spark)
     rows = src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     rows.repartition(5, "l_orderkey").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +121,22 @@ def delivered(parts: list[DataFrame], form: Callable[[DataFrame], DataFrame], fo
     return found.read(), progress
 
 
+def behind(rows: DataFrame, seconds: int) -> datetime | None:
+    """A time so long after the latest ``ts``."""
+    last = rows.agg(F.max("ts").alias("t")).first().t
+    return None if last is None else last + timedelta(seconds=seconds)
+
+
+def by_time(rows: DataFrame, form: Callable[[DataFrame], DataFrame], folder: str, last: list[dict], deliveries: int = 3) -> DataFrame:
+    """The result of ``form`` in append mode over ``rows``, which are cut by their ``ts`` and arrive one delivery after another; then each of ``last`` arrives, rows that only move time on."""
+    ms = F.unix_millis("ts")
+    cuts = rows.select(ms.alias("ms")).approxQuantile("ms", [k / deliveries for k in range(1, deliveries)], 0.01)
+    edges = [None, *cuts, None]
+    parts = [rows.where((F.lit(True) if a is None else ms >= a) & (F.lit(True) if b is None else ms < b)) for a, b in zip(edges, edges[1:])]
+    parts += [rows.sparkSession.createDataFrame([[row.get(c) for c in rows.columns]], rows.schema) for row in last]
+    return delivered(parts, form, folder)[0]
+
+
 #: Keyed state on disk, small partitions included.
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
