@@ -222,13 +222,32 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     return placed.where(F.struct("doc", "at") > F.col("least")).select("doc", "at")
 
 
+def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether rows share an id or have none, so that an id does not tell a row."""
+    return not docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 OR _id IS NULL").isEmpty()
+
+
+def _numbered(docs: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """``_row, _id, _text``: rows written once with a number each; ``_id`` is id and number."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_name"), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_number"))
+    return keep.save(rows, "rows").select("_row", F.struct("_name", "_number").alias("_id"), "_text")
+
+
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed`` per document; ``removed``: places from 0, comma-joined.
+    """``doc_id, n_lines, n_removed, removed`` per row; ``removed``: places from 0, comma-joined.
 
-    Null text: no lines. Very long texts are split whole, very long lines compared whole. Rows
-    that share an id are one document. A null id sorts first and has its row. Ties cannot occur,
-    as places differ. An empty table gives an empty table; other columns play no part.
+    Null text: no lines. Very long texts are split whole, very long lines compared whole. Where
+    rows share an id or have none, each row is judged by itself: those without id come first, and rows
+    of one id in the order in which they are written once. Ties cannot occur, as places differ.
+    An empty table gives an empty table; other columns play no part.
     """
+    if _ids_repeat(docs, id_col):
+        rows = _numbered(docs, Scratch(docs.sparkSession, "lines-rows"), id_col, text_col)
+        return _line_report(rows, edits, least, "_id", "_text", short).withColumn("doc_id", F.col("doc_id._name"))
+    return _line_report(docs, edits, least, id_col, text_col, short)
+
+
+def _line_report(docs: DataFrame, edits: int, least: int, id_col: str, text_col: str, short: bool) -> DataFrame:
     gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
     counts = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.sum(F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n")), F.lit(0))).cast("long").alias("n_lines"))
     out = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
@@ -238,13 +257,16 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts; other columns stay, whatever they are called.
 
-    Null text stays null; a text all of whose lines go is left empty. Rows that share an id are
-    one document and lose the same places; a null id is a document too. Very long texts are
+    Null text stays null; a text all of whose lines go is left empty. Each row loses its own places, also
+    where rows share an id or have none (see ``line_report``). Very long texts are
     split whole. An empty table gives an empty table.
     """
-    gone = repeated_lines(docs, edits, least, id_col, text_col, short).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    lines = F.filter(F.transform(F.split(F.col(f"_row.{text_col}").cast("string"), "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line)), lambda x: x.isNotNull())
+    if _ids_repeat(docs, id_col):
+        rows = _numbered(docs, Scratch(docs.sparkSession, "lines-rows"), id_col, text_col)
+    else:
+        rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    gone = repeated_lines(rows, edits, least, "_id", "_text", short).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
+    lines = F.filter(F.transform(F.split("_text", "\n"), lambda line, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), line)), lambda x: x.isNotNull())
     joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
     return joined.select(*[F.array_join(lines, "\n").alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
 

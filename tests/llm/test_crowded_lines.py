@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanwise.llm import lines
 
@@ -64,3 +65,24 @@ def test_letter_counts_of_the_highest_bit(spark):
     texts = ["s" * 8 + "u" * 25, "s" * 8 + "u" * 24 + "x", "e" * 15 + "u" * 18, "s" * 8 + "u" * 30 + "x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.doc, r.at) for r in lines.repeated_lines(docs).collect()} == {(1, 0)}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Each row is judged by itself: a repeat in one row takes nothing from another, and equal rows lose their lines but for the first."""
+    long = "a line that is long enough to be compared by edits"
+    rows = [
+        (7, f"{long}\nthe second one is long enough and unique, too"), (7, "only here is this one long enough line\nsecond line unique also here and long"),
+        (8, f"{long}!\nanother long line that nothing else is like 1234"), (None, long), (None, "this long line is only in a row that has no id"), (9, None), (9, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("_number", F.lit(3)).withColumn("doc", F.lit("x"))
+    left = [(r.doc_id, r.text) for r in lines.drop_lines(docs).collect()]
+    assert lines.drop_lines(docs).columns == docs.columns
+    want = [
+        (7, "the second one is long enough and unique, too"), (7, rows[1][1]), (8, "another long line that nothing else is like 1234"), (None, long), rows[4], (9, None), (9, ""),
+    ]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    report = sorted([(r.doc_id, r.n_lines, r.n_removed, r.removed) for r in lines.line_report(docs).collect()], key=str)
+    assert report == sorted([(7, 2, 1, "0"), (7, 2, 0, ""), (8, 2, 1, "0"), (None, 1, 0, ""), (None, 1, 0, ""), (9, 0, 0, ""), (9, 1, 0, "")], key=str)
+    twice = spark.createDataFrame([rows[0], rows[0]], "doc_id long, text string").coalesce(1)
+    assert sorted(r.n_removed for r in lines.line_report(twice).collect()) == [0, 2]
+    assert sorted(r.text for r in lines.drop_lines(twice).collect()) == ["", rows[0][1]]
