@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 class Interrupted(RuntimeError):
@@ -133,7 +133,8 @@ def by_time(rows: DataFrame, form: Callable[[DataFrame], DataFrame], folder: str
     cuts = rows.select(ms.alias("ms")).approxQuantile("ms", [k / deliveries for k in range(1, deliveries)], 0.01)
     edges = [None, *cuts, None]
     parts = [rows.where((F.lit(True) if a is None else ms >= a) & (F.lit(True) if b is None else ms < b)) for a, b in zip(edges, edges[1:])]
-    parts += [rows.sparkSession.createDataFrame([[row.get(c) for c in rows.columns]], rows.schema) for row in last]
+    loose = StructType([StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    parts += [rows.sparkSession.createDataFrame([[row.get(c) for c in rows.columns]], loose) for row in last]
     return delivered(parts, form, folder)[0]
 
 
