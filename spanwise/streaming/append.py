@@ -127,14 +127,15 @@ def behind(rows: DataFrame, seconds: int) -> datetime | None:
     return None if last is None else last + timedelta(seconds=seconds)
 
 
-def by_time(rows: DataFrame, form: Callable[[DataFrame], DataFrame], folder: str, last: list[dict], deliveries: int = 3) -> DataFrame:
-    """The result of ``form`` in append mode over ``rows``, which are cut by their ``ts`` and arrive one delivery after another; then each of ``last`` arrives, rows that only move time on."""
+def by_time(rows: DataFrame, form: Callable[[DataFrame], DataFrame], folder: str, last: list[dict], deliveries: int = 2) -> DataFrame:
+    """The result of ``form`` in append mode over ``rows``, which are cut by their ``ts`` and arrive one delivery after another; with the last come ``last``, rows that only move time on."""
     ms = F.unix_millis("ts")
     cuts = rows.select(ms.alias("ms")).approxQuantile("ms", [k / deliveries for k in range(1, deliveries)], 0.01)
     edges = [None, *cuts, None]
     parts = [rows.where((F.lit(True) if a is None else ms >= a) & (F.lit(True) if b is None else ms < b)) for a, b in zip(edges, edges[1:])]
     loose = StructType([StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    parts += [rows.sparkSession.createDataFrame([[row.get(c) for c in rows.columns]], loose) for row in last]
+    if last:
+        parts[-1] = parts[-1].unionByName(rows.sparkSession.createDataFrame([[row.get(c) for c in rows.columns] for row in last], loose))
     return delivered(parts, form, folder)[0]
 
 
