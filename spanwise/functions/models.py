@@ -64,7 +64,7 @@ def music_score(factory: Callable):
     return apply
 
 
-def frames(df, emit: Callable[[pd.Series], list[tuple]], schema: str):
+def frames(df, emit: Callable[[tuple], list[tuple]], schema: str):
     """Table-valued: any number of rows for each row of ``df``."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -72,6 +72,6 @@ def frames(df, emit: Callable[[pd.Series], list[tuple]], schema: str):
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([out for _, row in rows.iterrows() for out in emit(row)], columns=names)
+            yield pd.DataFrame([out for row in rows.itertuples(index=False) for out in emit(row)], columns=names)
 
     return df.mapInPandas(apply, schema)

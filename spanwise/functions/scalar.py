@@ -72,9 +72,10 @@ def preflight(drm: Column, has_video: Column, has_audio: Column, needs_audio: Co
 
 
 def content_key(*parts: Column) -> Column:
-    """First 8 bytes of SHA-256 over length-delimited parts, in hex; null counts as the text "null"."""
+    """First 8 bytes of SHA-256 over length-delimited parts, in hex; null counts as the text "null". Lengths are in UTF-16 units."""
     texts = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
-    return F.substring(F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t, F.lit("|")) for t in texts]), 256), 1, 16)
+    units = lambda t: F.length(t) + F.regexp_count(t, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    return F.substring(F.sha2(F.concat(*[F.concat(units(t).cast("string"), F.lit(":"), t, F.lit("|")) for t in texts]), 256), 1, 16)
 
 
 def version(tag: Column) -> Column:
@@ -334,3 +335,13 @@ def transform_grid(length: Column, hop: int = 1024) -> tuple[Column, Column, Col
     """Hops of a length, right padding beside a left one of 1.5 hops, and frames."""
     le = F.ceil(length / hop)
     return le, F.lit(hop // 2 * 3) + le * hop - length, le + 4
+
+
+def took_text(ms: Column) -> Column:
+    """``1234ms(0.0min)``: minutes are a 32-bit quotient with one digit, half up."""
+    return F.format_string("%dms(%.1fmin)", ms, (ms.cast("float") / F.lit(60000.0).cast("float")).cast("float"))
+
+
+def completion(state: Column, published: Column, quarantined: Column) -> list[Column]:
+    """``state, discarded, may_delete`` of a job whose output is published or not."""
+    return [F.when(published, "DONE").otherwise(state).alias("state"), (published & quarantined).alias("discarded"), (published & ~quarantined).alias("may_delete")]

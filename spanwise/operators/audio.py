@@ -54,6 +54,21 @@ def dilate(scores: DataFrame, by: str, bucket: int = 4096) -> DataFrame:
     return out.withColumn("separate", separate).drop("_b", "_own", "_near", "_far", "_there", "_by", "_last")
 
 
+def window_scores(samples: DataFrame, by: list[str], frame: int, silence: float = 0.001, score: Column | None = None) -> DataFrame:
+    """``by, frames, score`` of each window ``by``: the best frame's score, 0 where no sample reaches ``silence``.
+
+    ``samples``: by, ``j`` (0, 1, ... in the window) and ``x``. Frames follow each other, the last flush with
+    the window's end; a window shorter than a frame is one frame, filled up with zeros. ``score`` is an aggregate of a
+    frame's samples; by default their mean absolute value over the frame.
+    """
+    n = F.count("*").over(Window.partitionBy(*by))
+    own = F.when((F.floor(F.col("j") / frame) + 1) * frame <= F.greatest("n", F.lit(frame)), F.floor(F.col("j") / frame) * frame)
+    flush = F.when((F.col("n") > frame) & (F.col("n") % frame != 0) & (F.col("j") >= F.col("n") - frame), F.col("n") - frame)
+    cells = samples.withColumn("n", n).withColumn("start", F.explode(F.filter(F.array(own, flush), lambda s: s.isNotNull())))
+    scores = cells.groupBy(*by, "start").agg((F.sum(F.abs("x")) / frame if score is None else score).alias("s"), F.max(F.abs("x")).alias("p"))
+    return scores.groupBy(*by).agg(F.count("*").alias("frames"), F.when(F.max("p") < silence, 0.0).otherwise(F.max("s")).alias("score"))
+
+
 def skipped_chunks(done: Column, stride: int = STRIDE, lead: int = LEAD) -> Column:
     """Chunks that a run resumed after ``done`` frames need not compute; exactly one is computed again."""
     return F.greatest(F.lit(0).cast("long"), F.floor((done + lead) / stride) - 1)

@@ -46,6 +46,13 @@ def pending(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done, ["video_id", "idx"], "left_anti")
 
 
+def eval_frames(plan: DataFrame) -> DataFrame:
+    """``video_id, idx, k, pts_ms, use``: 36 evaluation frames every 200 ms from a segment's start, then ten for calibration every 4 s; none at or beyond its end."""
+    row = lambda k, off, use: F.struct(k.cast("long").alias("k"), (F.col("start_ms") + off).alias("pts_ms"), F.lit(use).alias("use"))
+    frames = F.concat(F.transform(F.sequence(F.lit(0), F.lit(35)), lambda k: row(k, k * 200, "eval")), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: row(k, 7200 + k * 4000, "calib")))
+    return plan.withColumn("x", F.explode(frames)).where(F.col("x.pts_ms") < F.col("end_ms")).select("video_id", "idx", "x.k", "x.pts_ms", "x.use")
+
+
 def slot_samples(frames: DataFrame, step: int, window_ms: int = SEGMENT_MS) -> DataFrame:
     """Frames emitted by the slot rule, per window anchored at its start.
 

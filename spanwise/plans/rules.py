@@ -296,7 +296,7 @@ def resampled(spark, d):
     a = mono.withColumn("j", F.explode(F.when(j1(F.col("i")) >= j0(F.col("i")), F.sequence(j0(F.col("i")), j1(F.col("i")))).otherwise(F.array().cast("array<bigint>")))).select("track_id", "j", F.col("x").alias("a"))
     b = mono.where("i > 0").withColumn("j", F.explode(F.when(j1(F.col("i") - 1) >= j0(F.col("i") - 1), F.sequence(j0(F.col("i") - 1), j1(F.col("i") - 1))).otherwise(F.array().cast("array<bigint>")))).select("track_id", "j", F.col("x").alias("b"))
     f = (F.col("j") * 441 % 160) / 160.0
-    both = a.join(b, ["track_id", "j"], "left").join(F.broadcast(n), F.col("track_id") == F.col("_t")).where(F.col("j") < F.floor(F.col("n") * 160 / 441))
+    both = a.join(b, ["track_id", "j"], "left").join(n, F.col("track_id") == F.col("_t")).where(F.col("j") < F.floor(F.col("n") * 160 / 441))
     return both.select("track_id", "j", F.round(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * f, 9).alias("x"))
 
 
