@@ -28,11 +28,13 @@ PLUS = re.compile(r"""[\x20\t]*+(?:\+|\.(?=[\x20\t])|\\\n)\s*+""")
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>|&]++""")
 BLOCK = re.compile(r"""[|>][+-]?[\x20\t]*+\n(?P<pad>[\x20\t]++)""")
 FOLD = re.compile(r"""\n[\x20\t]*+""")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY-----")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?-----")
+#: Words before a bare credential in an authorization header.
+SCHEME = re.compile(r"""(?ai)(?:bearer|basic|token|digest|apikey)[\x20\t]++(?=[^\s"'`])""")
 CLOSING = {'"': re.compile(r"""(?:[^"\\\n]|\\.)*+\""""), "'": re.compile(r"""(?:[^'\\\n]|\\.)*+'"""), "`": re.compile(r"""[^`]*+`""")}
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of name parts; pairs count together ("api key"), and a name is sensitive from 2 on.
-STRONG = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "credential": 3, "credentials": 3, "apikey": 3, "bearer": 2, "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "client": 1, "encryption": 1, "signing": 1}
+STRONG = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "credential": 3, "credentials": 3, "apikey": 3, "authorization": 3, "bearer": 2, "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "client": 1, "encryption": 1, "signing": 1}
 #: First and last line of a PEM key; their spaces are not the key's.
 ARMOUR = re.compile(r"-----(?:BEGIN|END)[A-Z0-9\x20]+-----")
 PLAIN = re.compile(r"(?ai)^(?:true|false|none|null|nil|undefined|changeme|example|sample|test|xxx+|your[-_ ].*|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|[a-z][a-z0-9+.-]*://[^@]*)$")
@@ -49,13 +51,25 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def looks_secret(value: str, name_score: int) -> bool:
-    """A strong name needs a plausible literal, a weaker one a random-looking literal."""
+#: What a literal must have to count: characters; characters if it has no digit beside letters; bits per
+#: character under a strong name (3 and more) and under a weaker one.
+LEAST_CHARS, LEAST_LETTERS, STRONG_NAME = 6, 16, 3
+LEAST_BITS, LEAST_BITS_WEAK = 2.5, 3.5
+
+
+def looks_secret(value: str, name_score: int, quoted: bool = False) -> bool:
+    """A strong name needs a plausible literal, a weaker one a random-looking literal.
+
+    A private key in armour always counts, header lines included. Blanks are allowed in a ``quoted`` literal
+    of a strong name (a passphrase, a header with its scheme), else they make it prose.
+    """
+    if KEY_BLOCK.match(value):
+        return bool(ARMOUR.sub("", value).strip())
     value = ARMOUR.sub("", value)
-    if len(value) < 8 or PLAIN.match(value) or " " in value:
+    if len(value) < LEAST_CHARS or PLAIN.match(value) or " " in value and not (quoted and name_score >= STRONG_NAME):
         return False
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return entropy(value) >= (2.5 if name_score >= 3 else 3.5) and (mixed or (name_score >= 3 and len(value) >= 16))
+    return entropy(value) >= (LEAST_BITS if name_score >= STRONG_NAME else LEAST_BITS_WEAK) and (mixed or (name_score >= STRONG_NAME and len(value) >= LEAST_LETTERS))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -143,7 +157,11 @@ class _Lexer:
                     return pieces, at + 1
                 pieces.append(("text", *found[:2]))
                 at = found[2]
-            elif m := BARE.match(text, at):
+            elif m := SCHEME.match(text, at) or BARE.match(text, at):
+                if m.re is SCHEME:  # the credential follows
+                    at = m.end()
+                    if not (m := BARE.match(text, at)):
+                        return pieces, at
                 if text.startswith(("(", "["), m.end()):  # a call or a lookup
                     return pieces, m.end()
                 pieces.append(("bare", at, at + len(m[0].rstrip(".:!?"))))
@@ -218,7 +236,7 @@ def lexed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if reached.get(i, 0) >= score:
             continue
         reached[i] = score
-        own = []
+        own, quoted = [], True
         for kind, s, e in pairs[i][1]:
             at = where.get(text[s:e]) if kind == "bare" else None
             if at and at != [i]:
@@ -226,7 +244,8 @@ def lexed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
                 todo.append((score, at[k - 1] if k else next(j for j in at[:2] if j != i), True))
             else:
                 own.append((s, e))
-        if own and looks_secret(FOLD.sub("", "".join(text[s:e] for s, e in own)), score):
+                quoted &= kind == "text"
+        if own and looks_secret(FOLD.sub("", "".join(text[s:e] for s, e in own)), score, quoted):
             for place in own:
                 found.setdefault(place, "constant" if passed else "literal")
     out, reach, inside, of_base = [], 0, 0, iter([*sorted(base), (len(text) + 1, 0, "")])
@@ -269,7 +288,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Literals have no length bound, may hold escapes, span lines in triple quotes, YAML blocks and
     PEM keys, and be joined of parts; names come from source, settings, JSON, YAML and XML.
-    Constants are followed both ways.
+    Constants are followed both ways. A literal counts from 6 characters on, with a digit beside letters or from 16
+    characters on, if it has 2.5 bits a character under a strong name and 3.5 under a weaker one; placeholders
+    do not count, and blanks only in quotes under a strong name. A private key in armour counts whatever it holds.
 
     Null text: empty. Very long texts are read whole in linear time. Null or repeated ids keep a row each. An empty table gives an empty
     table; other columns play no part.
