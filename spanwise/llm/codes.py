@@ -26,7 +26,8 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 ROWS = 1024
-LEADING = 2
+#: Share of a part's dimensions that are summed before the first bound is taken, and share of entries left from which on these alone are carried on.
+LEADING, FEW = 0.25, 0.05
 BROADCAST_BYTES = 16 << 20
 
 
@@ -35,44 +36,50 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Dimensions are taken in descending variance of the codebook. The sum over the leading ones picks an
     entry per row whose whole distance is the first bound; from then on an entry is dropped as
-    soon as its sum so far strictly exceeds the row's bound. Half-way the most promising entry
-    left is completed and may lower the bound. All sums are integers, so the result is exact.
+    soon as its sum so far strictly exceeds the row's bound. Dropped entries stay in the array, masked, until few
+    are left; then the most promising one of each row is completed, which may lower the bound, and only
+    what is left is carried on. All sums are integers, so the result is exact.
     """
     n, width = x.shape
     at, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if width == 0:
         return at, far
     order = np.argsort(-book.astype(np.float64).var(axis=0), kind="stable")
-    x, book = x[:, order].astype(np.int64), book[:, order].astype(np.int64)
+    largest = 2 * int(max(np.abs(x).max(initial=0), np.abs(book).max(initial=0)))
+    kind = np.int32 if largest * largest * width < 2**31 else np.int64  # no sum of squares leaves it
+    x, book = x[:, order].astype(kind), book[:, order].astype(kind)
     columns = np.ascontiguousarray(book.T)
-    lead = min(LEADING, width)
+    lead = max(1, int(width * LEADING))
     for start in range(0, n, ROWS):
         block = x[start : start + ROWS]
-        rows_in = np.arange(len(block))
-        sums = np.zeros((len(block), len(book)), np.int64)
-        for j in range(lead):
+        sums = np.zeros((len(block), len(book)), kind)
+
+        def completed(pick: np.ndarray, j: int, block=block, sums=sums) -> np.ndarray:
+            """Whole distance of one entry per row, of which ``j`` dimensions are summed."""
+            return sums[np.arange(len(block)), pick] + np.square(block[:, j:] - book[pick, j:]).sum(axis=1, dtype=kind)
+
+        j, left, bound = 0, None, None
+        while j < width and (left is None or np.count_nonzero(left) > FEW * left.size):
             step = block[:, j, None] - columns[j][None, :]
             sums += step * step
-        guess = sums.argmin(axis=1)
-        bound = np.square(block - book[guess]).sum(axis=1)
+            j += 1
+            if j >= lead:
+                if bound is None or j % lead == 0:
+                    now = completed(sums.argmin(axis=1), j)
+                    bound = now if bound is None else np.minimum(bound, now)
+                left = sums <= bound[:, None]
+        bound = np.minimum(bound, completed(sums.argmin(axis=1), j))
         row, entry = np.nonzero(sums <= bound[:, None])
-        sums = sums[row, entry]
-        for j in range(lead, width):
-            if j == (lead + width) // 2:
-                first = np.searchsorted(row, rows_in)
-                least = np.minimum.reduceat(sums, first)
-                pick = np.flatnonzero(sums == least[row])
-                pick = pick[np.unique(row[pick], return_index=True)[1]]
-                whole = sums[pick] + np.square(block[:, j:] - book[entry[pick], j:]).sum(axis=1)
-                bound = np.minimum(bound, whole)
-            step = block[row, j] - columns[j][entry]
-            sums = sums + step * step
-            left = sums <= bound[row]
-            row, entry, sums = row[left], entry[left], sums[left]
-        least = np.minimum.reduceat(sums, np.searchsorted(row, rows_in))
-        pick = np.flatnonzero(sums == least[row])
+        kept = sums[row, entry]
+        for d in range(j, width):
+            step = block[row, d] - columns[d][entry]
+            kept = kept + step * step
+            alive = kept <= bound[row]
+            row, entry, kept = row[alive], entry[alive], kept[alive]
+        least = np.minimum.reduceat(kept, np.searchsorted(row, np.arange(len(block))))
+        pick = np.flatnonzero(kept == least[row])
         pick = pick[np.unique(row[pick], return_index=True)[1]]  # entries ascend within a row
-        at[start : start + ROWS], far[start : start + ROWS] = entry[pick], sums[pick]
+        at[start : start + ROWS], far[start : start + ROWS] = entry[pick], kept[pick]
     return at, far
 
 
