@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanwise.functions import dense, models
+from spanwise.functions import models, pictures
 from spanwise.functions import scalar as S
 from spanwise.operators import audio, intervals, planning, tracks
 from spanwise.operators.numbering import numbered
@@ -261,12 +261,12 @@ def turned_pictures(spark, d):
 
     def apply(batches):
         for rows in batches:
-            out = []
-            for key, deg in zip(rows.o_orderkey, rows.deg, strict=True):
-                y = (np.arange(48).reshape(8, 6) + key) % 200
-                tensor = dense.tensor(y, np.full((4, 3), 128), np.full((4, 3), 128), int(deg))
-                out.append((key, deg, tensor.shape[-1], tensor.shape[-2], int(round(float(tensor[0, 0, 0, 0]) * 255))))
-            yield pd.DataFrame(out, columns=["o_orderkey", "deg", "width", "height", "corner"])
+            keys = rows.o_orderkey.to_numpy()
+            planes = np.concatenate([(np.arange(48) + keys[:, None]) % 200, np.full((len(keys), 24), 128)], axis=1)
+            for (deg,), at in pictures.by_shape(rows.deg.to_numpy()):
+                tensors = pictures.tensors(planes[at], 6, 8, deg)
+                corner = np.round(tensors[:, 0, 0, 0] * 255).astype(int)
+                yield pd.DataFrame({"o_orderkey": keys[at], "deg": deg, "width": tensors.shape[-1], "height": tensors.shape[-2], "corner": corner})
 
     return src.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4 * 90).alias("deg")).mapInPandas(apply, "o_orderkey long, deg long, width long, height long, corner long")
 
