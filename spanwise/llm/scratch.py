@@ -9,12 +9,19 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
-_made: list[str] = []
+_made = threading.local()  # a run's tables are those of its thread, so that runs in several threads leave each other's alone
+
+
+def _list() -> list[str]:
+    if not hasattr(_made, "bases"):
+        _made.bases = []
+    return _made.bases
 
 
 def root(spark: SparkSession) -> str:
@@ -44,7 +51,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{root(spark)}/spanwise/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _made.append(self.base)
+        _list().append(self.base)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -67,13 +74,14 @@ class Scratch:
 
 
 def mark() -> int:
-    """A point in time for ``sweep``."""
-    return len(_made)
+    """A point in time of this thread for ``sweep``."""
+    return len(_list())
 
 
 def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the tables of operators run after the mark ``since``; what reads them must be written by now."""
-    for base in _made[since:]:
+    """Delete the tables of operators that this thread ran after the mark ``since``; what reads them must be written by now."""
+    made = _list()
+    for base in made[since:]:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    del _made[since:]
+    del made[since:]

@@ -74,3 +74,30 @@ def test_nothing_left(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_runs_in_threads_leave_each_other_alone(spark):
+    """A sweep takes the tables of its own thread only."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from spanwise.llm.scratch import Scratch, mark, sweep
+
+    both = Barrier(2)
+
+    def run(k):
+        outer = Scratch(spark, f"outer-{k}")
+        kept = outer.save(spark.range(10 + k), "kept")
+        since = mark()
+        gone = Scratch(spark, f"inner-{k}").save(spark.range(5), "gone")
+        both.wait(60)  # each has made its tables before any is swept
+        if k == 0:
+            sweep(spark, since)
+        both.wait(60)
+        left = kept.count(), (gone.count() if k else None)
+        if k:
+            sweep(spark, since)
+        return left
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, range(2))) == [(10, None), (11, 5)]
