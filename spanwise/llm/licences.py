@@ -49,12 +49,16 @@ EQUIVALENT = (
     (r"acknowledgement", "acknowledgment"), (r"organisation", "organization"), (r"per cent", "percent"),
 )
 _EQUIVALENT_ANY = "|".join(p for p, _ in EQUIVALENT)
+#: After the word "copyright" at the start of a line, these go on with a sentence; anything else names an owner.
+PROSE = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|infringements?|protections?|claims?|acts?|disclaimers?|and|or|in|is|of|to|for)\b"
+#: Characters of a known text's beginning by which runs of lines are found.
+HEAD = 24
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, words only; line breaks are kept."""
     out = F.lower(text)
-    out = F.when(F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")), F.regexp_replace(out, r"(?m)^[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$", "")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")), F.regexp_replace(out, r"(?md)^[^a-z0-9\n]*(copyright[ \t:]++(?!" + PROSE + r")|\(c\)|©|all rights reserved)[^\n]*$", "")).otherwise(out)
     spelled = out
     for pattern, one in EQUIVALENT:
         spelled = F.regexp_replace(spelled, pattern, one)
@@ -74,7 +78,12 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence texts found as a whole document, a paragraph or a line.
+    """Licence texts found as a whole document, a paragraph, a line or a run of lines.
+
+    A run is two or more lines with words, not all of the document's; so a licence above a program is found,
+    whatever comment marks and line breaks it has. A run is looked up where a line begins like a known text
+    (its first 24 characters, or all of a shorter line) and a line ends after just as many characters. The list of
+    beginnings and lengths comes to the driver; it grows with ``known`` alone.
 
     Returns one row per document, licence and unit: ``doc_id, license_id, unit, n_found``.
     Each unit's canonical form is hashed whole and looked up among the digests of ``known``
@@ -91,7 +100,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     digests = keep.save(known_digests(known), "digests")
     sizes = [r["n"] for r in digests.select("n").distinct().collect()] if digests.select("n").distinct().count() <= 10_000 else None
     one = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col).cast("string")).alias("_c")).where("_c is not null")
-    one = one.select("doc_id", F.split("_c", "\n").alias("_l"), F.split("_c", "\n{2,}").alias("_p"), _flat(F.col("_c")).alias("_t"))
+    flat = _flat(canonical(F.col("text")))
+    heads = known.where("text is not null and license_id is not null").select(flat.alias("x")).select("x", F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("k"))
+    heads = [r[0] for r in heads.where(f"x <> '' and (k = {HEAD} or substring(x, k + 1, 1) = ' ')").select(F.expr("substring(x, 1, k)")).distinct().collect()]
+    most = digests.agg(F.max("n")).first()[0] or 0
+    lengths = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>") if sizes is not None else F.sequence(F.lit(1), F.lit(most))
+    one = one.select("doc_id", F.split("_c", "\n").alias("_l"), F.split("_c", "\n{2,}").alias("_p"), _flat(F.col("_c")).alias("_t"), F.filter(F.transform(F.split("_c", "\n"), lambda w: F.trim(w)), lambda w: w != "").alias("_w"))
+    begins = F.filter(F.transform("_w", lambda w, i: F.when(F.substring(w, 1, HEAD).isin(heads), i)), lambda i: i.isNotNull()) if heads else F.array().cast("array<int>")
+
+    def runs_from(i):
+        """All runs from line ``i`` on that have a known length; a text of n characters has n / 2 lines at most."""
+        rest = F.array_join(F.slice("_w", i + 1, F.lit(most // 2 + 2)), "\n")
+        ends = lambda n: (F.length(F.get("_w", i)) < n) & (F.length(rest) >= n) & F.substring(rest, n + 1, F.lit(1)).isin("", "\n") & ~((i == 0) & (F.length("_t") == n))
+        return F.transform(F.filter(lengths, ends), lambda n: F.struct(F.lit("run").alias("unit"), F.replace(F.substring(rest, F.lit(1), n), F.lit("\n"), F.lit(" ")).alias("x")))
+
     units = one.select(
         "doc_id",
         F.explode(
@@ -99,6 +121,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
                 F.array(F.struct(F.lit("text").alias("unit"), F.col("_t").alias("x"))),
                 F.when(F.size("_p") > 1, F.transform("_p", lambda p: F.struct(F.lit("paragraph").alias("unit"), _flat(p).alias("x")))).otherwise(F.array().cast("array<struct<unit:string,x:string>>")),
                 F.transform("_l", lambda p: F.struct(F.lit("line").alias("unit"), F.trim(p).alias("x"))),
+                F.flatten(F.transform(begins, runs_from)),
             )
         ).alias("u"),
     ).select("doc_id", "u.unit", "u.x")
@@ -113,7 +136,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(copyright[ \\t]+(\\(c\\)|©|[0-9])|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+    # lines that go on with a sentence are marked, those that name an owner go, the mark goes
+    out = f"regexp_replace(lower({text}), '(?m)^([^a-z0-9\\n]*)copyright([ \\t:]+{PROSE})', '\\1qxcopyright\\2', 'g')"
+    out = f"regexp_replace({out}, '(?m)^[^a-z0-9\\n]*(copyright[ \\t:]|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+    out = f"replace({out}, 'qxcopyright', 'copyright')"
     for pattern, one in EQUIVALENT:
         out = f"regexp_replace({out}, '{pattern}', '{one}', 'g')"
     out = f"regexp_replace(replace({out}, '&', ' and '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
@@ -127,13 +153,22 @@ def _sql_flat(text: str) -> str:
 ORACLE = f"""
 WITH known(license_id, text) AS (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)}
 ), k AS (
-  SELECT DISTINCT license_id, sha256({_sql_flat(_sql_canonical("text"))}) AS digest FROM known
+  SELECT DISTINCT license_id, {_sql_flat(_sql_canonical("text"))} AS flat, sha256(flat) AS digest FROM known
 ), d AS (
   SELECT doc_id, {_sql_canonical("text")} AS c FROM documents WHERE text IS NOT NULL
 ), u AS (
   SELECT doc_id, 'text' AS unit, {_sql_flat("c")} AS x FROM d
   UNION ALL SELECT doc_id, 'line', trim(unnest(string_split(c, chr(10)))) FROM d
   UNION ALL SELECT doc_id, 'paragraph', {_sql_flat("p")} FROM (SELECT doc_id, unnest(regexp_split_to_array(c, '\\n{{2,}}')) AS p FROM d WHERE regexp_matches(c, '\\n{{2,}}'))
+), f AS (
+  SELECT doc_id, license_id, flat, length(flat) AS n, all_n, regexp_extract_all(c, '[^ \\n][^\\n]*') AS w
+  FROM (SELECT doc_id, c, {_sql_flat("c")} AS x, length(x) AS all_n FROM d) JOIN k ON contains(x, flat)
+), g AS (
+  SELECT *, rtrim(array_to_string(list_slice(w, i, len(w)), chr(10))) AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f)
 )
 SELECT doc_id, license_id, unit, count(*) AS n_found FROM u JOIN k ON digest = sha256(x) WHERE x <> '' GROUP BY ALL
+UNION ALL
+SELECT doc_id, license_id, 'run', count(*) FROM g
+WHERE replace(left(rest, n), chr(10), ' ') = flat AND substr(rest, n + 1, 1) IN ('', chr(10)) AND length(rtrim(w[i])) < n AND NOT (i = 1 AND n = all_n)
+GROUP BY ALL
 """
