@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Frequent function words of the four corpus languages.
+#: Words that stop words are looked for among: runs of the Latin letters that the lists use, in lower case.
+TERM = "[a-zß-öø-ÿœ]+"
+LISTED = ("en", "de", "fr", "es")
+#: Frequent function words of these four languages.
 STOP_WORDS = (
     "the of and to in is that for it with as was by on are this be at from or an have not which "
     "der die das und ist nicht ein eine mit von zu den dem auf für "
@@ -41,21 +44,27 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", at_least=2.0, at_most=15.0),
     Rule("symbol_ratio", "n_symbols", "n_words", at_most=0.1),
     Rule("mark_ratio", "n_marks", "n_words", at_most=0.3),
-    Rule("stop_words", "n_stop_words", None, at_least=2.0),
+    Rule("stop_words", "n_stop_words", "n_terms", at_least=0.05),
     Rule("line_ratio", "n_dup_lines", "n_lines", at_most=0.5),
 )
 
 
-def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, lang_col: str | None = None) -> DataFrame:
     """The counts that rules refer to, beside the columns ``keep``.
 
+    Stop words are counted with each occurrence among ``n_terms``, runs of Latin letters in lower case,
+    so neither case nor punctuation hides one. A text of which fewer runs than half its words are such
+    is in another script: its ``n_terms`` is 0, and so it is where ``lang_col`` names a language without a list.
+
     Repeated 3-word windows: 64-bit hashes of windows (built from their words' hashes in order);
     where two are equal, sorting (hash, position) within the text puts them side by side.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = keep if keep is not None else docs.columns
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")  # empty only at the ends
-    step = docs.select(*names, text.alias("_t"), words.alias("_w"), F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("_l"))
+    listed = F.coalesce(F.col(lang_col).cast("string").isin(*LISTED), F.lit(True)) if lang_col else F.lit(True)
+    terms = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    step = docs.select(*names, text.alias("_t"), words.alias("_w"), F.when(listed, terms).otherwise(F.array()).alias("_k"), F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("_l"))
 
     def neighbours(column: str, combine) -> Column:
         """combine(x[i], x[i + 1]) over the array; both sides are arguments, not captures."""
@@ -67,7 +76,8 @@ def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         "word_chars": F.length(F.array_join("_w", "")),
         "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")),
         "n_marks": F.regexp_count("_t", F.lit("[!?]")),
-        "n_stop_words": F.size(F.array_intersect("_w", F.array(*[F.lit(w) for w in STOP_WORDS]))),
+        "n_terms": F.when(2 * F.size("_k") >= F.size("_w"), F.size("_k")).otherwise(0),
+        "n_stop_words": F.size(F.filter("_k", lambda w: w.isin(*STOP_WORDS))),
         "n_lines": F.size("_l"),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
     }
@@ -86,24 +96,24 @@ def verdicts(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured.select("*", base.alias("base_failed"), F.array_join(failed, ",").alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """Measures and verdict of every row; no shuffle, no user function.
 
     Null text: no words, so base_failed. Null or repeated ids keep a row each. An empty table
     gives an empty table; other columns play no part.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return verdicts(measures(slim, "_text", ["doc_id"]), rules)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None)).alias("_lang"))
+    return verdicts(measures(slim, "_text", ["doc_id"], "_lang" if lang_col else None), rules)
 
 
-def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows that pass, with their own columns, whatever those are called.
 
     The mark keeps the optimizer from moving the filter below the projections, where it would
     repeat every measure once per place that uses it.
     """
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    judged = verdicts(measures(packed, "_text", ["_row"]), rules).select("_row", "kept", F.monotonically_increasing_id().alias("_mark"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None)).alias("_lang"))
+    judged = verdicts(measures(packed, "_text", ["_row"], "_lang" if lang_col else None), rules).select("_row", "kept", F.monotonically_increasing_id().alias("_mark"))
     return judged.where("kept and _mark >= 0").select("_row.*")
 
 
@@ -127,12 +137,13 @@ WITH d AS (
   SELECT r, count(DISTINCT i + k) AS n_repeat_words
   FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r
 ), s AS (
-  SELECT r, count(DISTINCT x) AS n_stop_words FROM (SELECT r, unnest(w) AS x FROM d)
-  WHERE x IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY r
+  SELECT r, count(*) AS n_runs, count(*) FILTER (x IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS n_stop_words
+  FROM (SELECT r, unnest(regexp_extract_all(lower(t), '{TERM}')) AS x FROM d) GROUP BY r
 ), m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks,
+         CASE WHEN 2 * coalesce(n_runs, 0) >= len(w) THEN coalesce(n_runs, 0) ELSE 0 END::BIGINT AS n_terms,
          coalesce(n_stop_words, 0)::BIGINT AS n_stop_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN l USING (r) LEFT JOIN p USING (r) LEFT JOIN s USING (r)
@@ -142,7 +153,7 @@ WITH d AS (
            CASE WHEN word_chars < 2.0e0 * n_words OR word_chars > 15.0e0 * n_words THEN 'word_length' END,
            CASE WHEN n_symbols > 0.1e0 * n_words THEN 'symbol_ratio' END,
            CASE WHEN n_marks > 0.3e0 * n_words THEN 'mark_ratio' END,
-           CASE WHEN n_stop_words < 2 THEN 'stop_words' END,
+           CASE WHEN n_stop_words < 0.05e0 * n_terms THEN 'stop_words' END,
            CASE WHEN n_dup_lines > 0.5e0 * n_lines THEN 'line_ratio' END) AS failed_rules
   FROM m
 )
