@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranks import running
+from .ranks import deal_key, dealt, running
 from .scratch import Scratch
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -43,9 +43,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 def _plan(slim: DataFrame, keep: Scratch, weights: tuple[int, ...], most: float, ties: list[str]) -> DataFrame:
     """``doc_id, source, size, _key`` and ``ties`` -> what each row gives: ``epochs`` whole passes and ``rest`` words."""
-    slim = keep.save(slim, "sizes")
+    slim = dealt(slim, ["doc_id", "source", "size", "_key"], keep)
     goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    placed = running(slim, ["source"], F.col("_key"), ["doc_id", "size", *ties], "size", "_before", extra=goals)
+    placed = running(slim, ["source"], deal_key(F.col("_key")), ["doc_id", "size", "_deal", *ties], "size", "_before", extra=goals)
     goal = F.floor(F.col("target") + 1e-6)
     return (
         placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     Returns ``doc_id, size, source, source_size, target, taken, epochs`` and ``rest`` (words of
     the last, partial pass). Null or empty text: size 0, taken 0. Very long texts count whole; the
     cut may fall inside one. A null source is a source of its own, the last. Repeated rows count
-    each; rows equal in id, source and size are interchangeable. An empty table gives an empty
+    each; rows equal in id, source and text are interchangeable and spread over all buckets. An empty table gives an empty
     table.
     """
     keep = Scratch(docs.sparkSession, "mix")
