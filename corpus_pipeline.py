@@ -50,8 +50,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix; equal rows, which repeat here, take a slot each."""
-    return sharding.shard(docs)
+    """Shard and slot of every row of the mix, with the row itself in ``document``; equal rows, which repeat here, take a slot each."""
+    return sharding.sharded(docs)
 
 
 STAGES = [
