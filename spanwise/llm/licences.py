@@ -45,7 +45,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 #: Spellings that count as one, after lower-casing; a subset of those in public matching guidelines.
 EQUIVALENT = (
     (r"licence", "license"), (r"sub[ -]license", "sublicense"), (r"non[ -]commercial", "noncommercial"),
-    (r"non[ -]infringement", "noninfringement"), (r"copyright holder", "copyright owner"), (r"https", "http"),
+    (r"non[ -]infringement", "noninfringement"), (r"holder", "owner"), (r"https", "http"),
     (r"acknowledgement", "acknowledgment"), (r"organisation", "organization"), (r"per cent", "percent"),
 )
 _EQUIVALENT_ANY = "|".join(p for p, _ in EQUIVALENT)
