@@ -1,5 +1,7 @@
 """Small rules by hand and against numpy."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,19 @@ def test_checkpoint_documents(spark, tmp_path):
     assert rows[2, 0] == "corrupt"
 
 
+def test_many_checkpoint_documents(spark, tmp_path):
+    """Thousands of folders: tasks write and read them, not the driver one by one; two bodies of one key are both kept and count as broken."""
+    folder, good = str(tmp_path / "docs"), '{"startMs":0,"endMs":300,"events":[]}'
+    many = spark.range(4000).select(F.col("id").alias("video_id"), F.lit(0).cast("long").alias("idx"), F.lit(good).alias("body"))
+    begun = time.time()
+    checkpoints.write(many.unionByName(many.where("video_id = 7")), folder)
+    found = checkpoints.read(spark, folder)
+    assert found.count() == 4000 and found.where("document is null").select("video_id").collect() == [(7,)]
+    assert time.time() - begun < 45
+    checkpoints.write(many.where("video_id = 7"), folder)
+    assert found.where("document is null").count() == 0 and not list((tmp_path / "docs" / "_drafts").iterdir())
+
+
 def test_stale_by_newest_file_or_own_time(spark):
     rows = [("new file", "2024-05-01", "2020-01-01"), ("old file", "2020-05-01", "2024-05-01"), ("no file", None, "2020-01-01"), ("no file, new", None, "2024-05-01"), ("no time", None, None)]
     table = spark.createDataFrame(rows, "name string, changed string, made string").select("name", F.col("changed").cast("timestamp").alias("changed"), F.col("made").cast("timestamp").alias("made"))
