@@ -32,8 +32,8 @@ class Separator(InEventOrder):
 
     row = "at long, block long, score double, l array<double>, r array<double>, n long, mean double, std double"
 
-    def __init__(self, model: Model, segment: int, stride: int, lead: int, origin: int):
-        self.model, self.segment, self.stride, self.lead, self.origin = model, segment, stride, lead, origin
+    def __init__(self, model: Model, segment: int, stride: int, lead: int, origin: int, span: int = 60_000):
+        self.model, self.segment, self.stride, self.lead, self.origin, self.span = model, segment, stride, lead, origin, span
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -92,12 +92,12 @@ class Separator(InEventOrder):
         return pd.concat(out) if out else None
 
 
-def separated(blocks: DataFrame, model: Model, segment: int = SEGMENT, stride: int = STRIDE, lead: int = LEAD, delay: str = "5 seconds", origin: int = 0) -> DataFrame:
+def separated(blocks: DataFrame, model: Model, segment: int = SEGMENT, stride: int = STRIDE, lead: int = LEAD, delay: str = "5 seconds", origin: int = 0, span: int = 60_000) -> DataFrame:
     """``track_id, i, l, r`` of tracks that arrive in blocks, in append mode.
 
     ``blocks``: track_id, ts, block, score, the arrays l and r of the samples i with (i + lead) // stride = block, and the track's facts
     n, mean and std of a first pass. A chunk is separated by the rule of ``audio.dilate``; one whose score or whose
-    neighbour's is missing too. The result equals that of ``audio.separate`` where every chunk is separated.
+    neighbour's is missing too. The blocks of ``span`` milliseconds are in memory at once. The result equals that of ``audio.separate`` where every chunk is separated.
     """
     rows = blocks.withWatermark("ts", delay).select("track_id", "ts", (F.unix_millis("ts") - origin).alias("at"), "block", "score", "l", "r", "n", "mean", "std")
-    return rows.groupBy("track_id").transformWithStateInPandas(Separator(model, segment, stride, lead, origin), "track_id string, i long, l double, r double", "Append", "EventTime")
+    return rows.groupBy("track_id").transformWithStateInPandas(Separator(model, segment, stride, lead, origin, span), "track_id string, i long, l double, r double", "Append", "EventTime")

@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,65 @@ def test_rows_or_markers_lost(spark, tmp_path, harm):
     assert table.trusted() == (1 if harm == "marker" else 0)
     go()
     assert sorted(map(tuple, table.read().collect())) == sorted((r.id, r.x * 2) for r in rows.collect())
+
+
+# what waits
+
+
+class Cells(dict):
+    """A map state or the timers of a key, by hand."""
+
+    def getValue(self, k):
+        return self[k]
+
+    def containsKey(self, k):
+        return k in self
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def removeKey(self, k):
+        del self[k]
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Cells())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+def test_one_slot_at_a_time():
+    """Rows of a delivery wait packed by slots; a turn gets those of one slot, in order, and what the watermark has not passed goes on waiting."""
+
+    class Kept(live.InEventOrder):
+        row, span = "at long, name string", 100
+
+        def turn(self, key, rows):
+            calls.append(rows)
+
+    calls, handle, kept = [], Handle(), Kept()
+    kept.init(handle)
+    rng = random.Random(3)
+    rows = [(t, rng.choice([None, "a", "b"])) for t in range(1000)]
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[k : k + 100], columns=["at", "name"]) for k in range(0, 1000, 100)]
+    list(kept.handleInputRows(("v",), iter(frames), None))
+    assert len(handle.states["waiting"]) == 10 and len(handle.timers) == 10
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 949)
+    for ms in sorted(handle.timers):
+        list(kept.handleExpiredTimer(("v",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: ms)))
+    assert [len(c) for c in calls] == [100] * 9 + [50] and [r for c in calls for r in c] == sorted((r for r in rows if r[0] < 950))
+    assert len(handle.states["waiting"]) == 1 and 950 in handle.timers
+
+
+def test_chains_share_a_group():
+    """A key is a group of chains; the chains of a group do not see each other's items."""
+    turns = live.Chains()
+    turns.queues = SimpleNamespace(exists=lambda: False, update=lambda v: None, clear=lambda: None)
+    rows = [(1, "add", 1, "x", 7), (1, "add", 2, "x", 8), (2, "add", 3, "x", 7), (3, "end", 1, None, 7), (3, "end", 1, None, 8)]
+    assert list(turns.turn((0,), rows).itertuples(index=False, name=None)) == [(7, 1, "started", 1), (8, 2, "started", 1), (7, 3, "duplicate", 2), (7, 1, "ended", 3)]
