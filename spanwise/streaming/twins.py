@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,25 +55,31 @@ def dilation(scores: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         done, last, places, held = state.get if state.exists else (0, -1, [], [])
-        seen = dict(zip(places, held, strict=True))
-        out, end = [], False
+        at, values, end = [np.array(places, np.int64)], [np.array(held, float)], False
         for rows in batches:
-            for chunk, score in zip(rows.chunk, rows.score, strict=True):
-                if pd.isna(score):
-                    end = True
-                elif chunk >= done - 2:
-                    seen[int(chunk)] = float(score)
-                    last = max(last, int(chunk))
-        while done <= (last if end else last - 2):
-            around = [k for k in range(max(0, done - 2), min(last, done + 2) + 1)]
-            missing = any(k not in seen for k in around)
-            near = max([seen[k] for k in around if k in seen and abs(k - done) <= 1], default=0.0)
-            far = max([seen[k] for k in around if k in seen], default=0.0)
-            out.append((key[0], done, missing or near >= MUSIC or (seen[done] >= NEAR_MUSIC and far >= MUSIC)))
-            done += 1
-            seen = {k: v for k, v in seen.items() if k >= done - 2}
-        state.update((done, last, sorted(seen), [seen[k] for k in sorted(seen)]))
-        yield pd.DataFrame(out, columns=["video_id", "chunk", "separate"])
+            known = rows.score.notna().to_numpy()
+            end = end or not known.all()
+            known &= rows.chunk.to_numpy() >= done - 2
+            at.append(rows.chunk.to_numpy()[known].astype(np.int64))
+            values.append(rows.score.to_numpy()[known].astype(float))
+        at, values = np.concatenate(at), np.concatenate(values)
+        last = max(last, int(at.max(initial=-1)))
+        seen = np.full(max(0, last - done + 3), np.nan)  # from done - 2 on; the last of equal chunks counts
+        seen[at - (done - 2)] = values
+        first, stop = done - 2, last if end else last - 2
+        while done <= stop:
+            upto = min(stop + 1, done + 500_000)
+            places = np.arange(done - 2, upto + 2)
+            around = np.full(len(places), -np.inf)  # before the start and after the end is silence
+            inside = (places >= 0) & (places <= last)
+            around[inside] = seen[places[inside] - first]
+            wide = np.lib.stride_tricks.sliding_window_view(around, 5)
+            separate = np.isnan(wide).any(axis=1) | (wide[:, 1:4].max(axis=1) >= MUSIC) | ((wide[:, 2] >= NEAR_MUSIC) & (wide.max(axis=1) >= MUSIC))
+            yield pd.DataFrame({"video_id": key[0], "chunk": np.arange(done, upto), "separate": separate})
+            done = upto
+        places = np.arange(max(first, done - 2), last + 1)
+        places = places[~np.isnan(seen[places - first])]
+        state.update((done, last, places.tolist(), seen[places - first].tolist()))
 
     return scores.groupBy("video_id").applyInPandasWithState(step, "video_id string, chunk long, separate boolean", "done long, last long, places array<long>, held array<double>", "append", "NoTimeout")
 
