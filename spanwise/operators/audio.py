@@ -27,8 +27,12 @@ def windows_of(n: int, size: int, count: int = 20) -> list[tuple[int, int]] | No
 
 
 def chunk_grid(tracks: DataFrame) -> DataFrame:
-    """``track_id, chunk, off, n``: chunks every STRIDE from -LEAD until the track's end."""
-    grid = tracks.where("frames > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.ceil((F.col("frames") + LEAD) / STRIDE) - 1).cast("int"))))
+    """``track_id, chunk, off, n``: chunks every STRIDE from -LEAD until the track's end.
+
+    Tracks are dealt to tasks first: a small table of tracks, one task by its bytes, is thousands of chunks a row.
+    """
+    dealt = tracks.where("frames > 0").repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+    grid = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.ceil((F.col("frames") + LEAD) / STRIDE) - 1).cast("int"))))
     off = F.col("chunk") * STRIDE - LEAD
     return grid.select("track_id", "chunk", off.cast("long").alias("off"), (F.least(off + SEGMENT, F.col("frames")) - F.greatest(off, F.lit(0))).cast("long").alias("n"))
 
@@ -87,7 +91,7 @@ def separate(samples: DataFrame, by: str, model, segment: int = SEGMENT, stride:
         facts = facts.join(done.select(F.col(by).alias("_d"), "written"), F.col("_by") == F.col("_d"), "left").drop("_d").withColumn("written", F.coalesce("written", F.lit(0)))
     else:
         facts = facts.withColumn("written", F.lit(0))
-    facts = facts.withColumn("_skip", skipped_chunks(F.col("written"), stride, lead))  # a row per track
+    facts = F.broadcast(facts.withColumn("_skip", skipped_chunks(F.col("written"), stride, lead)))  # a row per track; a shuffle would put each track in one task
     p, last = F.col("i") + lead, F.ceil((F.col("_n") + lead) / stride) - 1
     tail = F.floor((segment - F.least(F.lit(segment), F.col("_n") + lead - last * stride)) / 2)  # left context of the last chunk
     k = F.floor(p / stride)

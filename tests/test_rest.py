@@ -121,3 +121,10 @@ def test_stale_by_newest_file_or_own_time(spark):
     table = spark.createDataFrame(rows, "name string, changed string, made string").select("name", F.col("changed").cast("timestamp").alias("changed"), F.col("made").cast("timestamp").alias("made"))
     got = checkpoints.stale(table, F.lit("2024-05-02").cast("timestamp"), 7 * 86_400_000).collect()
     assert {r.name: r.stale for r in got} == {"new file": False, "old file": True, "no file": True, "no file, new": False, "no time": False}
+
+
+def test_tracks_are_dealt_before_the_grid(spark):
+    """A table of tracks that is one partition makes the chunks of its tracks in several tasks."""
+    tracks = spark.createDataFrame([(i, 1_000_000 + i) for i in range(100)], "track_id long, frames long").coalesce(1)
+    parts = audio.chunk_grid(tracks).select("track_id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in parts}) > 1 and len(parts) == 100
