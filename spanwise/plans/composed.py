@@ -120,7 +120,7 @@ _SNAP = JOBS + """, vd AS (SELECT id AS video_id, duration_ms FROM jobs WHERE du
 
 @query(f"WITH {_SNAP} SELECT * FROM pl WHERE end_ms IS NOT NULL")
 def snapped_plan(spark, d):
-    """Cuts moved to the next keyframe by an as-of join; to the end where none follows."""
+    """Cuts moved to the next keyframe; to the end where none follows."""
     keys = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") * 700_000 + F.col("l_partkey")).alias("t"))
     videos = src.jobs(spark, d).select(F.col("id").alias("video_id"), "duration_ms")
     return planning.snapped_plan(videos, keys).withColumn("idx", F.col("idx").cast("long"))

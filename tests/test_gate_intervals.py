@@ -136,6 +136,35 @@ def test_segment_plan_collapses(spark):
     assert sorted((r.start_ms, r.end_ms) for r in rows) == [(0, 2_400_000), (2_400_000, 7_200_000)]
 
 
+def test_snapped_plan_against_brute_force(spark):
+    rng, size = random.Random(12), planning.SEGMENT_MS
+    ends = {i: rng.choice([size * rng.randrange(6, 14), rng.randrange(1_800_000, 5_000_000)]) for i in range(40)}
+    videos = [*ends.items(), (40, 1_799_999), (41, size), (42, None), (43, 1_800_000), (43, 3_000_001), (44, 2_000_000), (44, 2_000_000), (None, 2_400_000)]
+    keys = [(i, rng.choice([rng.randrange(6_000_000), size * rng.randrange(20)])) for i in range(46) for _ in range(rng.choice([0, 1, 5, 60]))]
+    keys += [(3, ends[3]), (3, ends[3] - 1), (3, -5), (4, None), (5, size), (5, size), (5, size - 1), (43, 1_800_000), (None, 700_000)]
+    cuts = {}
+    for v, end in videos:
+        if end is not None and end >= planning.CONFIRM_MS:
+            have = [t for k, t in keys if k is not None and k == v and t is not None]
+            cuts.setdefault(v, set()).update([0, end, *(min([t for t in have if t >= at] + [end]) for at in range(size, end, size))])
+    want = {(v, i, a, b) for v, c in cuts.items() for i, (a, b) in enumerate(zip(sorted(c), sorted(c)[1:]))}
+    got = planning.snapped_plan(spark.createDataFrame(videos, "video_id long, duration_ms long"), spark.createDataFrame(keys, "video_id long, t long")).collect()
+    assert {(r.video_id, r.idx, r.start_ms, r.end_ms) for r in got} == want and len(got) == len(want)
+
+
+def test_snapped_plan_beyond_32_bits(spark):
+    videos, keys = spark.createDataFrame([(1, 90_000_000_000)], "video_id long, duration_ms long"), spark.createDataFrame([(1, 700_000), (1, 80_000_000_000)], "video_id long, t long")
+    got = planning.snapped_plan(videos, keys).orderBy("idx").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 700_000), (1, 1, 700_000, 80_000_000_000), (1, 2, 80_000_000_000, 90_000_000_000)]
+
+
+def test_snapped_plan_shuffles_no_row_per_cut(spark, capsys):
+    videos, keys = spark.createDataFrame([(1, 9_000_000)], "video_id long, duration_ms long"), spark.createDataFrame([(1, 700_000), (1, 8_000_000)], "video_id long, t long")
+    planning.snapped_plan(videos, keys).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 2 and "Generate" not in plan and "Join" not in plan
+
+
 def test_slots(spark):
     rng = random.Random(8)
     pts = sorted({rng.randrange(20_000) for _ in range(300)})
