@@ -50,31 +50,33 @@ def dilation(scores: DataFrame) -> DataFrame:
 
     ``scores``: video_id, chunk, score; a row with a null score ends the video and lets the last two
     chunks out. A chunk that was not there when its turn came, or whose neighbour was not, is separated;
-    if it comes after its turn it still counts for those whose turn is to come.
+    if it comes after its turn it still counts for those whose turn is to come. Scores are floats and are
+    compared with the thresholds as floats: 0.02 as a float is below 0.02 as a double.
     """
+    music, some = np.float32(MUSIC), np.float32(NEAR_MUSIC)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         done, last, places, held = state.get if state.exists else (0, -1, [], [])
-        at, values, end = [np.array(places, np.int64)], [np.array(held, float)], False
+        at, values, end = [np.array(places, np.int64)], [np.array(held, np.float32)], False
         for rows in batches:
             known = rows.score.notna().to_numpy()
             end = end or not known.all()
             known &= rows.chunk.to_numpy() >= done - 2
             at.append(rows.chunk.to_numpy()[known].astype(np.int64))
-            values.append(rows.score.to_numpy()[known].astype(float))
+            values.append(rows.score.to_numpy()[known].astype(np.float32))
         at, values = np.concatenate(at), np.concatenate(values)
         last = max(last, int(at.max(initial=-1)))
-        seen = np.full(max(0, last - done + 3), np.nan)  # from done - 2 on; the last of equal chunks counts
+        seen = np.full(max(0, last - done + 3), np.nan, np.float32)  # from done - 2 on; the last of equal chunks counts
         seen[at - (done - 2)] = values
         first, stop = done - 2, last if end else last - 2
         while done <= stop:
             upto = min(stop + 1, done + 500_000)
             places = np.arange(done - 2, upto + 2)
-            around = np.full(len(places), -np.inf)  # before the start and after the end is silence
+            around = np.full(len(places), -np.inf, np.float32)  # before the start and after the end is silence
             inside = (places >= 0) & (places <= last)
             around[inside] = seen[places[inside] - first]
             wide = np.lib.stride_tricks.sliding_window_view(around, 5)
-            separate = np.isnan(wide).any(axis=1) | (wide[:, 1:4].max(axis=1) >= MUSIC) | ((wide[:, 2] >= NEAR_MUSIC) & (wide.max(axis=1) >= MUSIC))
+            separate = np.isnan(wide).any(axis=1) | (wide[:, 1:4].max(axis=1) >= music) | ((wide[:, 2] >= some) & (wide.max(axis=1) >= music))
             yield pd.DataFrame({"video_id": key[0], "chunk": np.arange(done, upto), "separate": separate})
             done = upto
         places = np.arange(max(first, done - 2), last + 1)

@@ -21,6 +21,17 @@ def test_dilation_stream(spark, tmp_path):
     assert {(r.chunk, r.separate) for r in twins.settle(twins.dilation(stream), str(tmp_path / "run")).collect()} == want
 
 
+def test_dilation_stream_compares_floats(spark, tmp_path):
+    """A score of exactly 0.02, a float, is not silent, and one of exactly 0.15 is music, as in the batch form."""
+    rows = [("v", c, x) for c, x in enumerate([0.02, 0.0, 0.9, 0.0, 0.02, 0.0, 0.0, 0.02, 0.0, 0.15, 0.0, 0.019])]
+    batch = spark.createDataFrame(rows, "video_id string, chunk long, score float")
+    want = {(r.chunk, r.separate) for r in audio.dilate(batch, "video_id").collect()}
+    batch.unionByName(spark.createDataFrame([("v", 12, None)], batch.schema)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    got = {(r.chunk, r.separate) for r in twins.settle(twins.dilation(stream), str(tmp_path / "run")).collect()}
+    assert got == want and {c for c, separate in got if not separate} == {5, 6, 11}
+
+
 def test_dedupe_stream(spark, tmp_path):
     rows = spark.range(20).select((F.col("id") % 5).cast("string").alias("url"), F.timestamp_seconds("id").alias("ts"))
     rows.write.parquet(str(tmp_path / "in"))
