@@ -87,6 +87,17 @@ def test_eval_frames_end_with_the_segment(spark):
     assert {(r.idx, r.use): r["count"] for r in got} == {(0, "eval"): 36, (0, "calib"): 10, (1, "eval"): 36, (1, "calib"): 1, (2, "eval"): 1}
 
 
+def test_eval_totals_make_no_frames(spark):
+    """The sums of each video and use are those of its frames, for every length at which a frame more fits, and no row per frame is made."""
+    lengths = [1, 199, 200, 201, 7000, 7001, 7199, 7200, 7201, 11_200, 11_201, 39_201, 43_199, 43_200, 43_201, 300_000]
+    plan = spark.createDataFrame([(v, i, s, s + n) for v in range(4) for i, n in enumerate(lengths) if i % 4 >= v for s in [v + i * 300_000]] + [(9, 0, 5, 6)], "video_id long, idx long, start_ms long, end_ms long")
+    sums = planning.eval_frames(plan).groupBy("video_id", "use").agg(F.count("*").alias("n"), F.sum(F.col("pts_ms") * (F.col("k") + 1)).alias("placed"), F.min("pts_ms").alias("first_ms"), F.max("pts_ms").alias("last_ms"))
+    got = planning.eval_totals(plan)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sums.collect())) and got.where("video_id = 9").count() == 1
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Generate") == 1 and text.index("Generate") < text.index("Aggregate")  # the uses, behind the sums
+
+
 def test_checkpoint_documents(spark, tmp_path):
     folder, good = str(tmp_path / "docs"), '{"startMs":0,"endMs":300,"events":[{"s":1,"e":2}]}'
     bodies = [(1, 0, good), (1, 1, good[:-3]), (1, 2, ""), (1, 3, '{"startMs":0,"events":[]}'), (1, 4, '{"startMs":900,"endMs":1200,"events":[]}'), (2, 0, good)]
