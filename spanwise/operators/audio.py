@@ -26,15 +26,39 @@ def windows_of(n: int, size: int, count: int = 20) -> list[tuple[int, int]] | No
     return [(k * (n - size) // (count - 1), k * (n - size) // (count - 1) + size) for k in range(count)]
 
 
+def _count() -> Column:
+    return F.ceil((F.col("frames") + LEAD) / STRIDE).cast("int")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    off = F.col("chunk") * STRIDE - LEAD
+    return rows.select("track_id", "chunk", off.cast("long").alias("off"), (F.least(off + SEGMENT, F.col("frames")) - F.greatest(off, F.lit(0))).cast("long").alias("n"))
+
+
 def chunk_grid(tracks: DataFrame) -> DataFrame:
     """``track_id, chunk, off, n``: chunks every STRIDE from -LEAD until the track's end.
 
     Tracks are dealt to tasks first: a small table of tracks, one task by its bytes, is thousands of chunks a row.
     """
     dealt = tracks.where("frames > 0").repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
-    grid = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.ceil((F.col("frames") + LEAD) / STRIDE) - 1).cast("int"))))
-    off = F.col("chunk") * STRIDE - LEAD
-    return grid.select("track_id", "chunk", off.cast("long").alias("off"), (F.least(off + SEGMENT, F.col("frames")) - F.greatest(off, F.lit(0))).cast("long").alias("n"))
+    return _cells(dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), _count() - 1))))
+
+
+def chunk_grid_by_lots(tracks: DataFrame, lot: int = 64) -> DataFrame:
+    """The rows of ``chunk_grid`` in an order that columnar files keep small: lots of tracks of similar length, and in a lot chunk by chunk.
+
+    ``chunk``, ``off`` and nearly always ``n`` are then runs of equal values, and the tracks of a lot repeat in the same
+    order. Tracks are dealt by a key that the lots share, so lots are made where the tracks are.
+    """
+    tasks = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tracks.where("frames > 0").withColumn("_deal", F.pmod(F.xxhash64("track_id"), F.lit(8 * tasks))).repartition(tasks, "_deal")
+    place = F.row_number().over(Window.partitionBy("_deal").orderBy("frames")) - 1  # of the tracks of one deal
+    of = F.sort_array(F.collect_list(F.struct("frames", "track_id")), asc=False)
+    part = lambda name: F.transform(of, lambda t: t[name]).alias(name)
+    lots = dealt.withColumn("_lot", F.floor(place / lot)).groupBy("_deal", "_lot").agg(part("track_id"), part("frames"), F.max(_count()).alias("_n"))
+    chunks = lots.select("track_id", "frames", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
+    cells = chunks.coalesce(tasks).select("frames", "chunk", F.posexplode("track_id").alias("_p", "track_id"))  # as many tasks: fused with the step before, all rows of a lot would wait in memory
+    return _cells(cells.select("chunk", "track_id", F.get("frames", F.col("_p")).alias("frames")).where(F.col("chunk") < _count()))
 
 
 def dilate(scores: DataFrame, by: str, bucket: int = 4096) -> DataFrame:
